@@ -14,8 +14,9 @@ def hamming(a, b) -> Column:
 
 
 def fixed(c, digits) -> Column:
-    """Text with so many decimals, ties to even."""
-    return F.format_string(f"%.{digits}f", F.bround(col(c).cast("double"), digits))
+    """Text with so many decimals, ties to even; null stays null."""
+    x = col(c).cast("double")
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", F.bround(x, digits)))
 
 
 def humansize(c) -> Column:
