@@ -11,19 +11,31 @@ def token_hash(c) -> Column:
     return F.conv(F.substring(F.md5(c), 1, TOKEN_BITS // 4), 16, 10).cast("long")
 
 
+FIELDS, FIELD = 3, 20  # counters held in one long: bits k, k + 20 and k + 40 of the hash
+CHUNK = 1 << (FIELD - 1)  # distinct words that a counter is given at most
+
+
 def simhash(df: DataFrame, key, text) -> DataFrame:
     """Rows key, fp: a bit is set where more of the text's distinct words have it set.
 
-    One exploded row a word and one partial aggregate of 60 sums, so the exchange carries
-    a row for each text and map task.  A text without words has no row.
+    One exploded row a word and 20 partial sums of three packed counters each; texts of
+    more than CHUNK words are counted in chunks, so that no counter runs over.  A text
+    without words has no row.
     """
-    words = df.select(key, F.explode(F.array_distinct(F.split(F.lower(text), " "))).alias("w")).filter("w <> ''").select(key, token_hash(F.col("w")).alias("h"))
-    votes = words.groupBy(key).agg(F.count("*").alias("n"), *[F.sum(F.shiftright("h", b).bitwiseAND(1)).alias(f"b{b}") for b in range(TOKEN_BITS)])
-    bits = [F.when(F.col(f"b{b}") * 2 > F.col("n"), F.lit(1 << b)).otherwise(F.lit(0)) for b in range(TOKEN_BITS)]
-    fp = bits[0]
-    for b in bits[1:]:
-        fp = fp + b
-    return votes.select(key, fp.cast("long").alias("fp"))
+    words = df.select(key, F.posexplode(F.array_distinct(F.split(F.lower(text), " "))).alias("at", "w")).filter("w <> ''")
+    words = words.select(key, F.floor(F.col("at") / CHUNK).alias("chunk"), token_hash(F.col("w")).alias("h"))
+    ones = sum(1 << (FIELD * f) for f in range(FIELDS))
+    packed = words.groupBy(key, "chunk").agg(F.count("*").alias("n"), *[F.sum(F.shiftright("h", k).bitwiseAND(ones)).alias(f"s{k}") for k in range(FIELD)])
+    # a row for each text and chunk from here on: arrays keep the plan (and its code) short
+    sums = F.array(*[f"s{k}" for k in range(FIELD)])
+    place = F.sequence(F.lit(0), F.lit(TOKEN_BITS - 1))
+    mask = (1 << FIELD) - 1
+    counts = F.transform(place, lambda b: F.call_function("shiftright", F.get(sums, b % FIELD), (F.floor(b / FIELD) * FIELD).cast("int")).bitwiseAND(mask))
+    votes = packed.select(key, "n", counts.alias("c")).groupBy(key).agg(F.sum("n").alias("n"), F.collect_list("c").alias("cs"))
+    total = F.aggregate("cs", F.array_repeat(F.lit(0).cast("long"), TOKEN_BITS), lambda a, c: F.zip_with(a, c, lambda x, y: x + y))
+    # Horner from the highest bit down
+    fp = F.aggregate(F.reverse(total), F.struct(F.lit(0).cast("long").alias("f"), F.col("n").alias("n")), lambda a, c: F.struct((a["f"] * 2 + (c * 2 > a["n"]).cast("long")).alias("f"), a["n"].alias("n")), lambda a: a["f"])
+    return votes.select(key, fp.alias("fp"))
 
 
 def mean_bits(vector) -> Column:

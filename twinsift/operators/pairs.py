@@ -13,10 +13,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.functions.scalars import hamming
+from twinsift.operators.components import ensure_checkpoint_dir
 
 FEW = 20_000
 
 
+def settled(fps: DataFrame, key, fp) -> DataFrame:
+    """Fingerprints computed once; each is read several times below."""
+    ensure_checkpoint_dir(fps.sparkSession)
+    return fps.filter(F.col(fp).isNotNull()).select(key, fp).checkpoint()
+
+
 def brute_pairs(fps: DataFrame, threshold, key="id", fp="fp") -> DataFrame:
     """All pairs src < dst within the threshold, by testing each; for small inputs."""
     a = fps.filter(F.col(fp).isNotNull()).select(F.col(key).alias("src"), F.col(fp).alias("a"))
@@ -43,6 +50,7 @@ def banded_pairs(fps: DataFrame, threshold, key="id", fp="fp", bits=64, bands=4)
 
 def all_pairs(fps: DataFrame, threshold, key="id", fp="fp", bits=64, few=FEW) -> DataFrame:
     """Pairs by whichever join suits the checked number of fingerprints and the threshold."""
+    fps = settled(fps, key, fp)
     small = fps.limit(few + 1).count() <= few
     return brute_pairs(fps, threshold, key, fp) if small else banded_pairs(fps, threshold, key, fp, bits, bands=4 if threshold < 16 else 8)
 
@@ -52,7 +60,7 @@ def linking_edges(fps: DataFrame, threshold, key="id", fp="fp", bits=64, few=FEW
 
     Copies of a fingerprint link to the least key; other links are between those keys.
     """
-    some = fps.filter(F.col(fp).isNotNull())
+    some = settled(fps, key, fp)
     heads = some.groupBy(fp).agg(F.min(key).alias("head"))
     copies = some.join(heads, fp).filter(F.col(key) != F.col("head")).select(F.col("head").alias("src"), F.col(key).alias("dst"))
     if threshold == 0:

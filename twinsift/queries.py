@@ -195,7 +195,7 @@ def neardup_pairs(spark, sf_dir):
 
 @query(f"WITH {PAIRS} SELECT * FROM e")
 def neardup_pairs_banded(spark, sf_dir):
-    return pairs.banded_pairs(text_fps(spark, sf_dir), TEXT_T, "doc_id", bits=60)
+    return pairs.banded_pairs(pairs.settled(text_fps(spark, sf_dir), "doc_id", "fp"), TEXT_T, "doc_id", bits=60)
 
 
 @query(f"WITH RECURSIVE {COMPS} SELECT node, component FROM g")
