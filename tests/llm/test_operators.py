@@ -426,3 +426,26 @@ def test_pipeline_against_brute_force(spark):
         assert n % one == 0 and n // one <= 3
         taken[source[k]] += n // one * words[k]
     assert all(abs(taken[s] - goal[s]) <= max(words[k] for k in words if source[k] == s) for s in goal)
+
+
+def test_difference_cover_suffix_array(spark):
+    from twinsift.llm import suffix_array
+
+    of = {0: "banana", 1: "ananas", 2: "", 3: "b", 4: "mississippi mississippi", 5: "aaaaaaaaaa"}
+    rows = [(d, i, ord(c)) for d, t in of.items() for i, c in enumerate(t)]
+    got = sorted((r["rank"], r["doc"], r["pos"]) for r in suffix_array.ranks(spark.createDataFrame(rows, "doc long, pos long, sym long")).collect())
+    assert [g[0] for g in got] == list(range(len(rows)))
+    order = [of[d][p:] for _, d, p in got]
+    assert order == sorted(order)
+
+
+def test_repeated_starts_by_suffix_array(spark):
+    from twinsift.llm import suffix_array
+
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    shared = noise(40)
+    docs = docs_of(spark, [noise(10) + shared, shared + noise(7), noise(30), None, shared[5:30] + shared[5:30]])
+    seen = Counter(t[i : i + 20] for t in texts(docs).values() for i in range(len(t) - 19))
+    want = {(d, i) for d, t in texts(docs).items() for i in range(len(t) - 19) if seen[t[i : i + 20]] > 1}
+    assert {tuple(r) for r in suffix_array.repeated_starts(docs, 20).collect()} == want

@@ -82,7 +82,8 @@ def _bucket(seed, last):
     """Decides one bucket; on the last level also what would stay undecided."""
 
     def run(pdf):
-        pdf = pdf.sort_values(["doc_id", "size"], kind="stable", na_position="last")
+        # large documents first: what stays undecided is then likely a small one
+        pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="last")
         head = pdf.iloc[0]
         chance = random.Random(hashlib.sha256(f"{seed}|{head['source']}|{head['bucket']}|{head['level']}".encode()).digest())
         rows = [[float(s), f, int(w)] for s, f, w in zip(pdf["size"], pdf["fraction"], pdf["copies"])]

@@ -1,0 +1,77 @@
+"""A suffix array by the difference cover of 3, in DataFrame operations.
+
+Suffixes at places 1 and 2 modulo 3 are the sample.  Their triples are sorted and named; if
+names repeat, the named string is sorted by recursion, which gives the sample's ranks.  The
+other suffixes are merged without a comparator: places 0 and 1 sort together by (symbol,
+rank of the next), places 0 and 2 by (two symbols, rank of the one after), and the numbers in
+those orders add up to the rank.  A suffix ends with its document; equal suffixes of
+different documents stand next to each other.
+
+This is the textbook form.  It sorts every place several times, so substring_dedup uses a
+content-defined sample instead; the README has the figures.  Empty input gives an empty
+result; null text is empty; rows that repeat a doc_id are one document.
+"""
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from twinsift.operators.grouping import number
+
+from . import kernels as K
+
+
+def ranks(string: DataFrame) -> DataFrame:
+    """doc, pos, rank for rows doc, pos, sym (positive; places of a document without gaps)."""
+    spark = K.checkpoint_dir(string.sparkSession)
+    w = Window.partitionBy("doc").orderBy("pos")
+    after = lambda k: F.coalesce(F.lead("sym", k).over(w), F.lit(0)).cast("long")
+    rows = string.select("doc", "pos", F.col("sym").cast("long").alias("s0"), after(1).alias("s1"), after(2).alias("s2")).checkpoint()
+    sample = rows.filter("pos % 3 <> 0")
+    triples = numbered(sample.select("s0", "s1", "s2").distinct(), ["s0", "s1", "s2"], "name").checkpoint()
+    named = sample.join(triples, ["s0", "s1", "s2"]).select("doc", "pos", (F.col("name") + 1).alias("name"))
+    if sample.count() == triples.count():
+        placed = named.select("doc", "pos", (F.col("name") - 1).alias("r"))
+    else:
+        ones = rows.filter("pos % 3 = 1").groupBy("doc").agg(F.count("*").alias("ones"))
+        at = F.when(F.col("pos") % 3 == 1, F.floor(F.col("pos") / 3)).otherwise(F.floor(F.col("pos") / 3) + F.col("ones") + 1)
+        inner = named.join(ones, "doc").select("doc", at.alias("at"), "pos", "name")
+        # symbol 1 parts the two halves; names go up by one to leave it free
+        string_ = inner.select("doc", F.col("at").alias("pos"), (F.col("name") + 1).alias("sym")).unionByName(ones.select("doc", F.col("ones").alias("pos"), F.lit(1).cast("long").alias("sym")))
+        got = ranks(string_)
+        placed = inner.join(got.withColumnRenamed("pos", "at"), ["doc", "at"]).select("doc", "pos", F.col("rank").alias("r"))
+    placed = numbered(placed, ["r"], "sample_rank").drop("r").checkpoint()
+    ahead = lambda k: placed.select("doc", (F.col("pos") - k).alias("pos"), (F.col("sample_rank") + 1).alias(f"r{k}"))
+    full = rows.join(ahead(1), ["doc", "pos"], "left").join(ahead(2), ["doc", "pos"], "left").join(placed, ["doc", "pos"], "left").fillna(0, ["r1", "r2"]).withColumn("kind", F.col("pos") % 3).checkpoint()
+    one, two = ["s0", "r1"], ["s0", "s1", "r2"]
+    tied = ["doc", "pos"]
+    a = numbered(full.filter("kind < 2").select("doc", "pos", *one), one + tied, "a").select("doc", "pos", "a")
+    b = numbered(full.filter("kind <> 1").select("doc", "pos", *two), two + tied, "b").select("doc", "pos", "b")
+    zero = numbered(full.filter("kind = 0").select("doc", "pos", *one), one + tied, "c").select("doc", "pos", "c")
+    own1 = numbered(full.filter("kind = 1").select("doc", "pos", *one), one + tied, "c").select("doc", "pos", "c")
+    own2 = numbered(full.filter("kind = 2").select("doc", "pos", *two), two + tied, "c").select("doc", "pos", "c")
+    own = zero.unionByName(own1).unionByName(own2)
+    all_ = full.join(a, ["doc", "pos"], "left").join(b, ["doc", "pos"], "left").join(own, ["doc", "pos"])
+    before = F.when(F.col("kind") == 0, F.col("a") + F.col("b") - F.col("c")).otherwise(F.col("sample_rank") + F.coalesce("a", "b") - F.col("c"))
+    # ties between equal suffixes are parted alike everywhere, so this is a permutation up to them
+    return numbered(all_.select("doc", "pos", before.cast("long").alias("p")), ["p", "doc", "pos"], "rank").select("doc", "pos", "rank")
+
+
+def numbered(df: DataFrame, order, name) -> DataFrame:
+    """Consecutive numbers in the order of some columns."""
+    return number(df.withColumn("_k", F.struct(*order)), "_k", name).drop("_k").withColumn(name, F.col(name).cast("long"))
+
+
+def repeated_starts(docs: DataFrame, length=200, text="text", key="doc_id") -> DataFrame:
+    """doc_id, pos (bytes) of every string of `length` bytes that starts at two places or
+    more: neighbours in the suffix array are compared."""
+    data = docs.select(F.col(key).alias("doc"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("b")).dropDuplicates(["doc"])
+    hexed = F.hex("b")
+    places = data.filter(F.length("b") > 0).select("doc", F.explode(F.sequence(F.lit(0), F.length("b") - 1)).alias("pos"), hexed.alias("h"))
+    string = places.select("doc", F.col("pos").cast("long").alias("pos"), (F.conv(F.expr("substring(h, 2 * pos + 1, 2)"), 16, 10).cast("long") + 1).alias("sym"))
+    order = ranks(string)
+    part = order.join(data, "doc").select("doc", "pos", "rank", F.expr(f"substring(b, cast(pos + 1 as int), {length})").alias("s")).filter(F.length("s") == length)
+    # neighbours among the suffixes that are long enough
+    part = numbered(part, ["rank"], "n").checkpoint()
+    next_ = part.select((F.col("n") - 1).alias("n"), F.col("s").alias("t"), F.col("doc").alias("doc2"), F.col("pos").alias("pos2"))
+    same = part.join(next_, "n").filter(F.col("s") == F.col("t"))
+    return same.select(F.col("doc").alias(key), "pos").union(same.select("doc2", "pos2")).distinct()
