@@ -65,9 +65,8 @@ def repeated_starts(docs: DataFrame, length=200, text="text", key="doc_id") -> D
     """doc_id, pos (bytes) of every string of `length` bytes that starts at two places or
     more: neighbours in the suffix array are compared."""
     data = docs.select(F.col(key).alias("doc"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("b")).dropDuplicates(["doc"])
-    hexed = F.hex("b")
-    places = data.filter(F.length("b") > 0).select("doc", F.explode(F.sequence(F.lit(0), F.length("b") - 1)).alias("pos"), hexed.alias("h"))
-    string = places.select("doc", F.col("pos").cast("long").alias("pos"), (F.conv(F.expr("substring(h, 2 * pos + 1, 2)"), 16, 10).cast("long") + 1).alias("sym"))
+    places = data.filter(F.length("b") > 0).select("doc", F.explode(F.sequence(F.lit(0), F.length("b") - 1)).alias("pos"), "b")
+    string = places.select("doc", F.col("pos").cast("long").alias("pos"), (F.conv(F.hex(F.expr("substring(b, pos + 1, 1)")), 16, 10).cast("long") + 1).alias("sym"))
     order = ranks(string)
     part = order.join(data, "doc").select("doc", "pos", "rank", F.expr(f"substring(b, cast(pos + 1 as int), {length})").alias("s")).filter(F.length("s") == length)
     # neighbours among the suffixes that are long enough
