@@ -105,12 +105,14 @@ def repeated_spans(docs, length=200, seed=64, hot=20_000):
 
     all_ = docs.mapInArrow(sample, f"doc_id {kind}, start long, windows int, anchor long, whole long")
     names = all_.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).filter("n > 1")
+    # a table of its own, so that the join below is of two plain exchanges and a hot anchor is split
+    names = names.checkpoint()
     hit = all_.join(names.select("anchor", (F.col("lo") == F.col("hi")).alias("alike")), "anchor").checkpoint()
     end = (F.col("start") + F.col("windows") - 1 + length).alias("end")
     alike = hit.filter("alike").select("doc_id", "start", end)
 
     mixed = hit.filter("not alike")
-    kinds = mixed.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "windows")).alias("at"))
+    kinds = mixed.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "windows")).alias("at")).checkpoint()
     whole = mixed.join(kinds.filter("n > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi").select("doc_id", "start", end)
 
     salts = kinds.groupBy("anchor").agg(F.ceil(F.count("*") / hot).cast("int").alias("salts"), (F.min("n") == 1).alias("open")).filter("open").select("anchor", "salts")
