@@ -95,9 +95,10 @@ def exact_groups(docs, text="text", key="doc_id", average=2048, most=16384):
     lines = verified(lines, docs, clash, average, most)
     # a row for each group from map-side combined maxima, then back to the members
     best = lines.groupBy("recipe").agg(F.max(F.struct("points", (-F.col("doc_id")).alias("neg"))).alias("best"), F.count("*").alias("group_size"))
-    best = best.select("recipe", (-F.col("best.neg")).cast(id_type).alias("keep_id"), "group_size")
-    return lines.join(best, "recipe").select(
-        F.col("doc_id").alias(key), "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks")
+    best = best.filter("group_size > 1").select("recipe", (-F.col("best.neg")).cast(id_type).alias("kept_id"), "group_size").checkpoint()
+    lines = lines.join(best, "recipe", "left").withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("kept_id")))
+    return lines.select(
+        F.col("doc_id").alias(key), "keep_id", F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks")
     )
 
 
