@@ -9,7 +9,7 @@
    classes is searched by brute force over sketches; a larger one is split again, and
    after `depth` levels searched anyhow, breadth first, so a dense group costs about its
    size.  Runs are repeated until the chance to miss a pair is below 1 - `recall`.
-   Searches emit a spanning forest, never all pairs.
+   Searches emit a star for each group found, never all pairs.
 3. The forest's components are candidates.  Inside each, exact Jaccard similarities of the
    whole sets are computed in blocks of bounded size, which gives every link between two
    classes of a component, the number of links of each, and the final groups.
@@ -95,21 +95,20 @@ def _child(node, t, values):
     return K.mix(k ^ (values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
-def forest(sketch, least):
-    """(i, j) pairs that join what agrees in at least `least` coordinates."""
-    left, edges = np.arange(1, len(sketch)), []
-    todo = [0]
-    while todo or len(left):
-        if not todo:
-            todo, left = [int(left[0])], left[1:]
-        i = todo.pop()
-        if not len(left):
-            continue
-        same = _EQUAL[sketch[left] ^ sketch[i]].sum(1, dtype=np.int64) >= least
-        for j in left[same].tolist():
-            edges.append((i, j))
-            todo.append(j)
-        left = left[~same]
+def stars(names, sketch, least):
+    """(head, member) pairs of names that join what agrees in at least `least` coordinates,
+    through others or not; the head is the least name, so that runs repeat the same pairs."""
+    order = np.argsort(names, kind="stable")
+    names, sketch = names[order], sketch[order]
+    left, edges = np.arange(len(names)), []
+    while len(left):
+        head, left = left[0], left[1:]
+        todo = [head]
+        while todo and len(left):
+            same = _EQUAL[sketch[left] ^ sketch[todo.pop()]].sum(1, dtype=np.int64) >= least
+            new, left = left[same], left[~same]
+            todo.extend(new.tolist())
+            edges.extend((names[head], names[j]) for j in new)
     return edges
 
 
@@ -126,9 +125,9 @@ def _buckets(small, last, similarity, least):
     def search(part, src, dst):
         cid = np.array([c for c, _ in part], dtype=np.int64)
         m = np.frombuffer(b"".join(s for _, s in part), np.uint8).reshape(len(part), T // 2)
-        for i, j in forest(m, least):
-            src.append(cid[i])
-            dst.append(cid[j])
+        for a, b in stars(cid, m, least):
+            src.append(a)
+            dst.append(b)
 
     def split(node, part, out):
         node &= 2**64 - 1
@@ -182,7 +181,7 @@ def similar_groups(docs, text="text", key="doc_id", width=5, similarity=0.8, rec
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sketch(batches):
-        for b in batches:
+        for b in K.parts(batches, "text"):
             sets = list(unique_shingles(b["text"], width))
             cid = [xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 for s in sets]
             sig = signatures(sets)
@@ -220,14 +219,15 @@ def similar_groups(docs, text="text", key="doc_id", width=5, similarity=0.8, rec
     return out.join(names, "root").select(F.col("doc_id").alias(key), "class_id", "n_links", "set_size")
 
 
-def exact_links(docs, groups, classes, width, similarity, block):
+def exact_links(docs, groups, classes, width, similarity, block, block_tokens=500_000):
     """(cid, links) and (cid, root) from the exact similarities inside each component.
 
-    Members are dealt to blocks of about `block`; a task compares two blocks, so no task
-    holds more than two, whatever the component's size.
+    Members are dealt to blocks of about `block` classes and `block_tokens` shingles; a task
+    compares two blocks, so no task holds more than two, whatever the component's size.
     """
-    size = groups.groupBy("component").agg(F.count("*").alias("members"))
-    member = groups.join(size, "component").join(classes, F.col("node") == F.col("cid")).select("cid", "component", "copies", "rep", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
+    member = groups.join(classes, F.col("node") == F.col("cid"))
+    size = member.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("set_size") / block_tokens)).cast("int").alias("blocks"))
+    member = member.join(size, "component").select("cid", "component", "copies", "rep", "blocks")
 
     def load(batches):
         for b in batches:

@@ -44,6 +44,13 @@ def slices(column, limit=1 << 20):
         a = b
 
 
+def parts(batches, column, limit=4 << 20):
+    """The batches cut to about `limit` bytes of a text column, to bound what a step holds."""
+    for batch in batches:
+        for a, b in slices(batch[column], limit):
+            yield batch.slice(a, b - a)
+
+
 def flat(column):
     """A string column as (bytes, offsets); null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
