@@ -70,6 +70,35 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_jaccard_join": """
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+        t AS (SELECT doc_id, unnest(s) AS t FROM s),
+        n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s),
+        i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+        e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * i >= 8 * (x.n + y.n - i)
+              UNION ALL SELECT x.doc_id, y.doc_id FROM n x JOIN n y ON x.doc_id < y.doc_id AND x.n = 0 AND y.n = 0),
+        u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        walk AS (SELECT a AS node, a AS seen FROM u UNION SELECT walk.node, u.b FROM walk JOIN u ON walk.seen = u.a),
+        g AS (SELECT node, min(seen) AS class_id FROM walk GROUP BY node),
+        l AS (SELECT a, count(*) AS n_links FROM u GROUP BY a)
+        SELECT n.doc_id, coalesce(class_id, n.doc_id) AS class_id, coalesce(n_links, 0) AS n_links, n AS set_size
+        FROM n LEFT JOIN g ON g.node = n.doc_id LEFT JOIN l ON l.a = n.doc_id""",
+    "op5_lm_score": """
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+        q AS (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS h FROM p),
+        o1 AS (SELECT doc_id, x, count(*) AS c FROM q GROUP BY doc_id, x), c1 AS (SELECT x, sum(c) AS c FROM o1 GROUP BY x),
+        o2 AS (SELECT doc_id, h, x, count(*) AS c FROM q WHERE h IS NOT NULL GROUP BY doc_id, h, x), c2 AS (SELECT h, x, sum(c) AS c FROM o2 GROUP BY h, x),
+        l1 AS (SELECT doc_id, x, (c1.c - o1.c)::DOUBLE AS c FROM o1 JOIN c1 USING (x)), l2 AS (SELECT doc_id, h, x, (c2.c - o2.c)::DOUBLE AS c FROM o2 JOIN c2 USING (h, x)),
+        n AS (SELECT doc_id, len(w)::BIGINT AS n, ((SELECT count(*) FROM p) - len(w))::DOUBLE AS rest FROM w),
+        r AS (SELECT q.doc_id, CASE WHEN l2.c > 0 THEN ln(l2.c / b.c)
+                WHEN a.c > 0 THEN ln(a.c / rest) + CASE WHEN q.h IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END
+                ELSE -ln(rest + 1) + CASE WHEN q.h IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END END AS s
+              FROM q JOIN n USING (doc_id) JOIN l1 a ON a.doc_id = q.doc_id AND a.x = q.x
+              LEFT JOIN l1 b ON b.doc_id = q.doc_id AND b.x = q.h LEFT JOIN l2 ON l2.doc_id = q.doc_id AND l2.h = q.h AND l2.x = q.x),
+        t AS (SELECT doc_id, sum(s) AS s FROM r GROUP BY doc_id)
+        SELECT n.doc_id, n AS n_words, round(coalesce(s, 0.0::DOUBLE), 6) AS log_score, CASE WHEN n > 0 THEN round(s / n, 9) END AS mean_log_score FROM n LEFT JOIN t USING (doc_id)""",
     "op3_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(length(text), 0) AS points,
                           regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS t FROM documents)
