@@ -73,7 +73,7 @@ def exact_groups(docs, text="text", key="doc_id", average=2048, most=16384):
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def recipes(batches):
-        for batch in batches:
+        for batch in K.parts(batches, "text"):
             points = pc.fill_null(pc.utf8_length(batch["text"]), 0)
             rows = [(hashlib.sha256(t).hexdigest(), [xxhash.xxh3_128_digest(c) for c in _split(t, e)]) for _, t, e in _chunks(batch["text"], average, most)]
             yield pa.RecordBatch.from_arrays(
@@ -82,7 +82,7 @@ def exact_groups(docs, text="text", key="doc_id", average=2048, most=16384):
             )
 
     def contents(batches):
-        for batch in batches:
+        for batch in K.parts(batches, "text"):
             seen = {}
             for _, t, e in _chunks(batch["text"], average, most):
                 for c in _split(t, e):
@@ -113,7 +113,7 @@ def verified(lines, docs, clash, average, most):
         return lines
 
     def long_names(batches):
-        for batch in batches:
+        for batch in K.parts(batches, "text"):
             rows = [[hashlib.sha256(c).digest() for c in _split(t, e)] for _, t, e in _chunks(batch["text"], average, most)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(rows, pa.list_(pa.binary()))], ["doc_id", "strong"])
 
