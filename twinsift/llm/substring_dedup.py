@@ -120,7 +120,7 @@ def repeated_spans(docs, length=200, seed=64, hot=20_000):
     texts = docs.join(asked.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "text", "asked")
 
     def context(batches):
-        for b in batches:
+        for b in K.parts(batches, "text", 1 << 20):
             for i in range(b.num_rows):
                 text = b["text"][i].as_py()
                 text = text.encode() if text else b""
@@ -214,7 +214,7 @@ def remove_repeats(docs, length=200, text="text", key="doc_id", seed=64, hot=20_
     both = docs.join(found, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "found")
 
     def cut(batches):
-        for b in batches:
+        for b in K.parts(batches, "text"):
             kept, removed, sizes = [], [], []
             for t, f in zip(b["text"], b["found"]):
                 data = t.as_py().encode() if t.is_valid else b""
