@@ -13,7 +13,7 @@ SHARPNESS_SIDE = 512
 BLOCK = 8
 STATUSES = ("pending", "confirmed", "skipped")
 
-# metric: (weight, digits shown, description).  A negative weight: lower is better.
+# Fixed values.  metric: (weight, digits shown, description); a negative weight: lower is better.
 IMAGE_METRICS = {
     "effective_resolution_px_equiv": (0.35, 0, "true detail amount; resistant to fake upscaling"),
     "sharpness_normalized": (0.20, 1, "edge/detail sharpness, compared at a common scale"),

@@ -19,6 +19,7 @@ METRIC_ROWS = (
     ("NIQE (lower better)", "niqe", "metric"),
     ("Quality score (higher better)", None, "score"),
 )
+# Marks of the states.
 MARKS = {"pending": "◻", "confirmed": "✔", "skipped": "—"}
 
 
