@@ -16,8 +16,8 @@ from twinsift.llm import tokens as T
 
 def _only(docs, chosen):
     """The documents whose id is in `chosen`, once each."""
-    chosen = chosen.select(F.col("doc_id").alias("_id"))
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    chosen = chosen.select(F.col("doc_id").alias("chosen_id"))
+    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["chosen_id"]), "left_semi").dropDuplicates(["doc_id"])
 
 
 def quality_classifier(spark, docs, sf_dir):

@@ -10,8 +10,8 @@
    one line a document are grouped, so long texts never move again.
 
 Defined cases: null text is empty, all empty texts form one group; equal code point
-counts go to the smaller doc_id; rows that repeat a doc_id each get a row; other columns
-are ignored; an empty table gives an empty result.
+counts go to the smaller doc_id, and a null one last; rows that repeat a doc_id each get a
+row; other columns are ignored; an empty table gives an empty result.
 """
 
 import hashlib
@@ -98,7 +98,7 @@ def exact_groups(docs, text="text", key="doc_id", average=2048, most=16384):
     best = best.filter("group_size > 1").select("recipe", (-F.col("best.neg")).cast(id_type).alias("kept_id"), "group_size").checkpoint()
     lines = lines.join(best, "recipe", "left").withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("kept_id")))
     return lines.select(
-        F.col("doc_id").alias(key), "keep_id", F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks")
+        F.col("doc_id").alias(key), "keep_id", F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks")
     )
 
 

@@ -16,8 +16,8 @@
 
 Defined cases: null text is empty; texts without words are equal to each other and similar
 to nothing else; a text of fewer than `width` words is one shingle; rows that repeat a
-doc_id are copies; ties don't matter (the class id is the least doc_id); other columns are
-ignored; an empty table gives an empty result.
+doc_id are documents of their own; ties don't matter (the class id is the least doc_id, null
+only if all are null); other columns are ignored; an empty table gives an empty result.
 """
 
 import math
@@ -177,7 +177,7 @@ def similar_groups(docs, text="text", key="doc_id", width=5, similarity=0.8, rec
     """One row for each row of `docs`: key, class_id (least key of its group of linked
     documents), n_links (other documents at the similarity or more), set_size."""
     spark = K.checkpoint_dir(docs.sparkSession)
-    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("print", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sketch(batches):
@@ -185,10 +185,13 @@ def similar_groups(docs, text="text", key="doc_id", width=5, similarity=0.8, rec
             sets = list(unique_shingles(b["text"], width))
             cid = [xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 for s in sets]
             sig = signatures(sets)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(cid, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in sig], pa.binary())], ["doc_id", "cid", "set_size", "sig"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["print"], pa.array(cid, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in sig], pa.binary())], ["doc_id", "print", "cid", "set_size", "sig"])
 
-    seen = docs.mapInArrow(sketch, f"doc_id {kind}, cid long, set_size long, sig binary").checkpoint()
-    classes = seen.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("set_size").alias("set_size"))
+    seen = docs.mapInArrow(sketch, f"doc_id {kind}, print long, cid long, set_size long, sig binary").checkpoint()
+    # the row that stands for a class; its text's hash tells rows of one key apart
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("first")
+    classes = seen.groupBy("cid").agg(first, F.count("*").alias("copies"), F.max("set_size").alias("set_size"))
+    classes = classes.select("cid", F.col("first.doc_id").alias("rep"), F.col("first.print").alias("rep_print"), "copies", "set_size")
     runs = runs_for(recall, similarity, depth)
     roots = [_hash("run", r) for r in range(runs)]
     least = int(T * (similarity - 0.27))  # five standard deviations below
@@ -227,13 +230,13 @@ def exact_links(docs, groups, classes, width, similarity, block, block_tokens=50
     """
     member = groups.join(classes, F.col("node") == F.col("cid"))
     size = member.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("set_size") / block_tokens)).cast("int").alias("blocks"))
-    member = member.join(size, "component").select("cid", "component", "copies", "rep", "blocks")
+    member = member.join(size, "component").select("cid", "component", "copies", "rep", "rep_print", "blocks")
 
     def load(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["cid"], b["component"], b["copies"], b["blocks"], pa.array([s.tobytes() for s in unique_shingles(b["text"], width)], pa.binary())], ["cid", "component", "copies", "blocks", "set"])
 
-    held = docs.join(member, F.col("doc_id") == F.col("rep")).select("cid", "component", "copies", "blocks", "text").mapInArrow(load, "cid long, component long, copies long, blocks int, set binary")
+    held = docs.join(member, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("print") == F.col("rep_print"))).select("cid", "component", "copies", "blocks", "text").mapInArrow(load, "cid long, component long, copies long, blocks int, set binary")
     held = held.withColumn("own", F.pmod(F.xxhash64("cid"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = held.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "copies", "blocks", "set")
 

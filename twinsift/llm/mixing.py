@@ -19,9 +19,8 @@ source and bucket, so a rerun agrees.
 import hashlib
 import random
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -81,18 +80,19 @@ def pivot(rows, chance):
 def _bucket(seed, last):
     """Decides one bucket; on the last level also what would stay undecided."""
 
-    def run(pdf):
+    def run(t):
         # large documents first: what stays undecided is then likely a small one
-        pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="last")
-        head = pdf.iloc[0]
+        t = t.take(pc.sort_indices(t, [("size", "descending"), ("doc_id", "ascending")]))
+        head = t.slice(0, 1).to_pylist()[0]
         chance = random.Random(hashlib.sha256(f"{seed}|{head['source']}|{head['bucket']}|{head['level']}".encode()).digest())
-        rows = [[float(s), f, int(w)] for s, f, w in zip(pdf["size"], pdf["fraction"], pdf["copies"])]
+        rows = [[float(s), f, int(w)] for s, f, w in zip(*(t[c].to_pylist() for c in ("size", "fraction", "copies")))]
         left = pivot(rows, chance)
         if left is not None and last:
             rows[left][2] += chance.random() < rows[left][1]
             rows[left][1] = 0.0
-        pdf["fraction"], pdf["copies"] = [r[1] for r in rows], [r[2] for r in rows]
-        return pdf
+        for name, column in (("fraction", pa.array([r[1] for r in rows], pa.float64())), ("copies", pa.array([r[2] for r in rows], pa.int64()))):
+            t = t.set_column(t.column_names.index(name), name, column)
+        return t
 
     return run
 
@@ -123,7 +123,7 @@ def mix(docs, weights=WEIGHTS, most=MOST, seed=17, text="text", key="doc_id", so
     most_buckets, level, done = max([1, *(-(-r // bucket_rows) for _, _, r in lines)]), 0, None
     while True:
         last = most_buckets == 1
-        step = all_.groupBy("source", "bucket").applyInPandas(_bucket(seed, last), all_.schema).checkpoint()
+        step = all_.groupBy("source", "bucket").applyInArrow(_bucket(seed, last), all_.schema).checkpoint()
         part = step if last else step.filter("fraction = 0")
         done = part if done is None else done.unionByName(part)
         if last:
@@ -138,7 +138,8 @@ def mixed(docs, text="text", key="doc_id", source="source", **options):
 
     Rows that repeat a key all get the largest number planned under that key.
     """
-    plan = mix(docs, text=text, key=key, source=source, **options).select(F.col(key).alias("_key"), "copies").filter("copies > 0")
-    plan = plan.groupBy("_key").agg(F.max("copies").alias("_copies"))
-    out = docs.join(plan, F.col(key) == F.col("_key")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return out.select(*[docs[c] for c in docs.columns])
+    plan = mix(docs, text=text, key=key, source=source, **options).select(F.col(key).alias("key"), "copies").filter("copies > 0")
+    plan = plan.groupBy("key").agg(F.max("copies").alias("copies"))
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    copy = F.explode(F.sequence(F.lit(1), plan["copies"].cast("int"))).alias("copy")
+    return docs.join(plan, docs[key].eqNullSafe(plan["key"])).select(row, copy).select("row.*")
