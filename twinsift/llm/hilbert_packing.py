@@ -5,7 +5,7 @@ to unit length, projected by a fixed random matrix to a few dimensions and turne
 its place on a Hilbert curve.  Documents are range-partitioned and sorted by that key
 (ties, such as thousands of equal texts, by a hash of the key column, so a hot key
 spreads over partitions) and laid out one after another; each partition is cut every
-`length` ids, so only its last sequence is padded.
+`length` ids, so only its last sequence is padded, and not if its ids are a power of two.
 
 Defined cases: null or empty text is the end id alone, at the curve's middle; repeated
 rows are separate documents; an empty table gives no sequences.
@@ -80,7 +80,7 @@ def pack(docs, vocabulary=None, length=2048, end_id=1, pad_id=0, text="text", ke
 
     def run(batches):
         encode = T.encoder(vocabulary)
-        out = T.Writer((TaskContext.get().partitionId() if TaskContext.get() else 0) << 32, length, pad_id, arrow)
+        out = T.Writer((TaskContext.get().partitionId() if TaskContext.get() else 0) << 32, length, pad_id, arrow, bare_powers=True)
         open_, room = [], length
         for batch in batches:
             for doc, t in zip(batch["doc_id"], batch["text"]):

@@ -42,13 +42,16 @@ def document_ids(text, encode, end_id):
 class Writer:
     """Gathers finished sequences into Arrow batches of a bounded size."""
 
-    def __init__(self, first_id, length, pad_id, id_type, most=512):
-        self.next, self.length, self.pad, self.id_type, self.most = first_id, length, pad_id, id_type, most
+    def __init__(self, first_id, length, pad_id, id_type, most=512, bare_powers=False):
+        """bare_powers: a sequence whose number of ids is a power of two is not padded."""
+        self.next, self.length, self.pad, self.id_type, self.most, self.bare_powers = first_id, length, pad_id, id_type, most, bare_powers
         self.rows = []
 
     def add(self, pieces):
         """pieces: (doc_id, start, ids, doc_tokens) in order; they fill one sequence."""
-        row, pos, cum, told, at = np.full(self.length, self.pad, "<u4"), np.zeros(self.length, "<u4"), [0], [], 0
+        used = sum(len(p[2]) for p in pieces)
+        size = used if self.bare_powers and used & (used - 1) == 0 else self.length
+        row, pos, cum, told, at = np.full(size, self.pad, "<u4"), np.zeros(size, "<u4"), [0], [], 0
         for doc, start, ids, total in pieces:
             n = len(ids)
             row[at : at + n] = ids
