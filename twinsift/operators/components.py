@@ -33,7 +33,9 @@ def connected_components(edges: DataFrame, src="src", dst="dst", max_rounds=60)
     for _ in range(max_rounds):
         heard = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("heard"))
         near = labels.join(heard, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        far = near.select(F.col("node").alias("at"), F.col("label").alias("up"))
+        # the labels of the last round, settled: the members of a large component, who share a
+        # label, then meet it in a join of two plain exchanges, which skew handling can split
+        far = labels.select(F.col("node").alias("at"), F.col("label").alias("up"))
         step = near.join(far, F.col("label") == F.col("at"), "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")).checkpoint()
         if step.filter("label <> old").isEmpty():
             return step.select("node", F.col("label").alias("component"))
