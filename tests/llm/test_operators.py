@@ -400,6 +400,17 @@ def test_quality_of_odd_rows(spark, odd):
     assert {r["score"] for r in quality.classify(odd, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_learns_from_the_lowest_hashes(spark, monkeypatch):
+    docs = docs_of(spark, [f"text {i} " * (i % 7 + 1) for i in range(300)])
+    seen = quality.measured(docs)
+    labels = spark.range(100_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality").filter("doc_id < 300 or doc_id > 90000")  # most have no document
+    monkeypatch.setattr(quality, "fit", lambda x, y: (x, y))
+    for n in (20, 1000):
+        x, y = quality.train(seen, labels, fit_rows=n)
+        want = seen.filter(~quality.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).limit(n).collect()
+        assert [list(r["x"]) for r in want] == x.tolist() and [r["doc_id"] % 2 for r in want] == y.tolist()
+
+
 def test_empty_tables(spark):
     none = docs_of(spark, []).select("doc_id", "text", "lang", "source", "n_chars")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

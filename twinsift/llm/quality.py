@@ -140,8 +140,14 @@ def measured(docs, text="text", key="doc_id"):
 
 def train(seen, labels, key="doc_id", label="quality", fit_rows=20_000):
     """The model of the statistics `seen` that have a label and are not held out."""
-    marks = labels.select(F.col(key).alias("doc_id"), F.col(label).alias("y")).filter(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
-    rows = seen.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").select("x", "y").limit(fit_rows).toArrow()
+    marks = labels.select(F.col(key).cast(seen.schema["doc_id"].dataType).alias("doc_id"), F.col(label).alias("y")).filter(F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
+    share = 2 * fit_rows / max(marks.count(), 1)
+    while True:  # the lowest hashes are looked for among few rows, so that what one task sorts is bounded
+        low = marks if share >= 1 else marks.filter(F.xxhash64("doc_id") < int(share * 2**64) - 2**63)
+        rows = seen.join(low, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").select("x", "y").limit(fit_rows).toArrow()
+        if share >= 1 or rows.num_rows == fit_rows:
+            break
+        share *= 4
     x = np.array(rows["x"].to_pylist(), dtype=np.float64).reshape(rows.num_rows, len(FEATURES))
     return fit(x, np.array(rows["y"].to_pylist(), dtype=np.int64))
 
