@@ -216,10 +216,10 @@ def similar_groups(docs, text="text", key="doc_id", width=5, similarity=0.8, rec
             break
     groups = connected_components(edges.distinct())
     links, label = exact_links(docs, groups, classes, width, similarity, block)
-    # a row for each class, settled, so that the join back to its copies is of two plain exchanges
+    # a row for each class; settled tables, so that each join is of two plain exchanges
     root, n_links = F.coalesce("root", "cid").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    of = classes.join(links, "cid", "left").join(label, "cid", "left").select("cid", "rep", root, n_links)
-    names = of.groupBy("root").agg(F.min("rep").alias("class_id"))
+    of = classes.join(links, "cid", "left").join(label, "cid", "left").select("cid", "rep", root, n_links).checkpoint()
+    names = of.groupBy("root").agg(F.min("rep").alias("class_id")).checkpoint()
     of = of.join(names, "root").select("cid", "class_id", "n_links").checkpoint()
     return seen.join(of, "cid").select(F.col("doc_id").alias(key), "class_id", "n_links", "set_size")
 
