@@ -299,6 +299,14 @@ def test_backoff_scores(spark, odd, order):
         assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], rel=1e-9, abs=1e-9) for k in want)
 
 
+@pytest.mark.parametrize("name, order", [("op5_lm_score", 2), ("op5_lm_score_trigrams", 3)])
+def test_registered_scores_have_their_order(spark, name, order):
+    want = brute_lm(texts(queries.table(spark, SF, "documents")), order)
+    got = {r["doc_id"]: (r["n_words"], r["log_score"]) for r in queries.QUERIES[name](spark, SF).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], rel=1e-9, abs=2e-6) for k in want)
+
+
 def test_chat_round_trip_with_attachments(spark):
     text = lambda t: ("text", t, None, None, None, None, None)
     rows = [
