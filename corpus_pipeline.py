@@ -1,12 +1,13 @@
 """The corpus pipeline: five stages over documents, each an operator of twinsift.llm.
 
-doc_id is the key: rows that repeat one are one document, and a null id is an id like any
-other.  A stage sees only what its predecessor kept.  All but the last return the columns
-of documents.
+Rows that share a doc_id, or have none, are separate documents: only texts that a stage
+holds to be equal or near make it drop a row.  A stage sees only what its predecessor kept.
+All but the last return the columns of documents.
 """
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from twinsift.llm import exact_dedup, hilbert_packing, jaccard_join, mixing, quality
@@ -14,10 +15,13 @@ from twinsift.llm import kernels as K
 from twinsift.llm import tokens as T
 
 
-def _only(docs, chosen):
-    """The documents whose id is in `chosen`, once each."""
-    chosen = chosen.select(F.col("doc_id").alias("chosen_id"))
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["chosen_id"]), "left_semi").dropDuplicates(["doc_id"])
+def _only(docs, chosen, text_hash):
+    """For each (doc_id, text_hash) of `chosen` one row of `docs`: that of the longest text; of
+    equal texts the other columns decide."""
+    rows = docs.select(F.struct("*").alias("row"), F.struct("doc_id", text_hash.alias("hash")).alias("key"), F.length("text").alias("points"))
+    first = Window.partitionBy("key").orderBy(F.desc("points"), F.xxhash64("row"))
+    rows = rows.join(chosen.select(F.struct("doc_id", "hash").alias("key")), "key", "left_semi")
+    return rows.withColumn("place", F.row_number().over(first)).filter("place = 1").select("row.*")
 
 
 def quality_classifier(spark, docs, sf_dir):
@@ -27,12 +31,16 @@ def quality_classifier(spark, docs, sf_dir):
 
 def exact(spark, docs, sf_dir):
     """Of equal texts the longest, then first, stays."""
-    return _only(docs, exact_dedup.exact_groups(docs).filter("kept"))
+    bare = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")
+    return _only(docs, exact_dedup.exact_groups(docs).filter("kept").withColumnRenamed("text_sha256", "hash"), F.sha2(bare, 256))
 
 
 def near(spark, docs, sf_dir):
-    """Of each group of linked texts the document with the least id stays."""
-    return _only(docs, jaccard_join.similar_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))))
+    """Of each group of linked texts the document with the least id stays, one without an id
+    only where none has one."""
+    found = jaccard_join.similar_groups(docs, prints=True)
+    least = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("print") == F.col("class_print"))
+    return _only(docs, found.filter(least).withColumnRenamed("print", "hash"), F.xxhash64("text"))
 
 
 def mix(spark, docs, sf_dir):

@@ -524,3 +524,15 @@ def test_stages_keep_columns_and_null_ids(spark, unkeyed, tmp_path):
                 assert None in ids
         packed = corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()
         assert {r["doc_id"] for r in packed} == {r[0] for r in want}
+
+
+def test_rows_without_an_id_or_of_one_id_keep_their_texts(spark):
+    one, two, three = (" ".join(f"{p}{i}" for i in range(40)) for p in "abc")
+    near = " ".join([*one.split(" ")[:-1], "other"])
+    rows = [(None, one), (None, two), (None, two), (None, two.replace(" ", "  ")), (None, near), (7, three), (7, "quite another text"), (7, two), (8, three)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], DOCS)
+    exact = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.exact(spark, docs, None).collect())
+    assert exact == Counter([(None, one), (None, two.replace(" ", "  ")), (None, near), (7, three), (7, "quite another text")])
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near(spark, docs, None).collect()]
+    assert len(left) == 4 and {(7, three), (7, "quite another text"), (7, two)} < set(left)
+    assert (set(left) - {(7, t) for _, t in rows}) < {(None, one), (None, near)}

@@ -173,9 +173,11 @@ def _buckets(small, last, similarity, least):
     return run
 
 
-def similar_groups(docs, text="text", key="doc_id", width=5, similarity=0.8, recall=0.999999, small=256, depth=2, block=256):
+def similar_groups(docs, text="text", key="doc_id", width=5, similarity=0.8, recall=0.999999, small=256, depth=2, block=256, prints=False):
     """One row for each row of `docs`: key, class_id (least key of its group of linked
-    documents), n_links (other documents at the similarity or more), set_size."""
+    documents), n_links (other documents at the similarity or more), set_size.  With `prints`
+    also print and class_print, the hashes of its text and of the text of the row that
+    class_id is from, which tell rows of one key apart."""
     spark = K.checkpoint_dir(docs.sparkSession)
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("print", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -218,10 +220,14 @@ def similar_groups(docs, text="text", key="doc_id", width=5, similarity=0.8, rec
     links, label = exact_links(docs, groups, classes, width, similarity, block)
     # a row for each class; settled tables, so that each join is of two plain exchanges
     root, n_links = F.coalesce("root", "cid").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    of = classes.join(links, "cid", "left").join(label, "cid", "left").select("cid", "rep", root, n_links).checkpoint()
-    names = of.groupBy("root").agg(F.min("rep").alias("class_id")).checkpoint()
-    of = of.join(names, "root").select("cid", "class_id", "n_links").checkpoint()
-    return seen.join(of, "cid").select(F.col("doc_id").alias(key), "class_id", "n_links", "set_size")
+    of = classes.join(links, "cid", "left").join(label, "cid", "left").select("cid", "rep", *["rep_print"] * prints, root, n_links).checkpoint()
+    if prints:
+        least = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "rep_print")).alias("least")
+        names = of.groupBy("root").agg(least).select("root", F.col("least.rep").alias("class_id"), F.col("least.rep_print").alias("class_print")).checkpoint()
+    else:
+        names = of.groupBy("root").agg(F.min("rep").alias("class_id")).checkpoint()
+    of = of.join(names, "root").select("cid", "class_id", *["class_print"] * prints, "n_links").checkpoint()
+    return seen.join(of, "cid").select(F.col("doc_id").alias(key), "class_id", "n_links", "set_size", *["print", "class_print"] * prints)
 
 
 def exact_links(docs, groups, classes, width, similarity, block, block_tokens=500_000):
