@@ -238,6 +238,17 @@ def test_ids_are_those_of_the_json_file(spark):
     assert all(a(t) == b(t) for t in of)
 
 
+def test_ids_are_those_of_an_unmodified_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    of = [*texts(queries.table(spark, SF, "documents")).values(), "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x  \n<|endoftext|>  \ny", "<|endoftext|", " <|endoftext|>'ll"]
+    for name in ("tiktoken", "json"):
+        encode = T.encoder(public_tokenizers.path(f"byte_bpe_50k.{name}"))
+        assert all(list(encode(t)) == plain.encode(t, add_special_tokens=False).ids for t in of if t)
+
+
 def test_best_fit_matches_a_plain_search():
     rng = random.Random(1)
     sizes = [rng.randint(1, 100) for _ in range(400)]

@@ -8,6 +8,9 @@ import pyarrow as pa
 
 SEQUENCE = "sequence_id long, n_tokens int, input_ids binary, position_ids binary, cu_seqlens array<int>, pieces array<struct<doc_id:{id},start:long,length:long,offset:long,doc_tokens:long>>"
 
+#: The added tokens of byte_bpe_50k.json; its rank file has none.
+SPECIAL = {"<|endoftext|>": 50256}
+
 
 def default_vocabulary():
     import public_tokenizers
@@ -18,19 +21,20 @@ def default_vocabulary():
 @functools.lru_cache(4)
 def encoder(path):
     """text -> list of ids.  A .tiktoken file holds the ranks of the same vocabulary as the
-    .json file of that name and is several times faster; a .json file works too."""
+    .json file of that name and is several times faster; a .json file works too.  Text that
+    holds a special token's string has its id there, as the plain tokenizers call gives it."""
     if path.endswith(".json"):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
         return lambda text: t.encode(text, add_special_tokens=False).ids
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+    return lambda text: own.encode(text, allowed_special="all") if any(s in text for s in SPECIAL) else own.encode_ordinary(text)
 
 
 def document_ids(text, encode, end_id):
