@@ -310,3 +310,11 @@ def test_flagship(spark):
 
 def test_every_oracle_has_its_query():
     assert set(Q.ORACLES) <= set(Q.QUERIES)
+
+
+def test_exclude_prefix_takes_any_number_of_hosts(spark, tmp_path):
+    urls = [u for i in range(1100) for u in (f"https://www{i}.org/en/a.html", f"https://www{i}.org/enough.html", f"https://www{i}.org/en")]
+    urls += ["https://blog.org/en/a.html"]
+    spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["path"] for r in Q.exclude_prefix(spark, str(tmp_path)).collect()}
+    assert got == {f"/archive/www{i}.org/enough.html" for i in range(1100)} | {"/archive/blog.org/en/a.html"}

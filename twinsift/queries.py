@@ -83,12 +83,10 @@ def ext_filter(spark, sf_dir):
 @query(f"WITH {P} SELECT path FROM p WHERE split_part(path, '/', 4) <> 'en' OR NOT starts_with(host, 'www')")
 def exclude_prefix(spark, sf_dir):
     p = paths(spark, sf_dir)
-    www = [r["host"] for r in p.filter(F.col("host").startswith("www")).select("host").distinct().limit(1001).collect()]
-    if len(www) > 1000:  # excluded folders are a setting; this many are no setting
-        raise ValueError("too many folders to exclude")
-    for h in www:
-        p = p.filter(files.outside("path", f"{ROOT}/{h}/en"))
-    return p.select("path")
+    # each www host's /en folder, taken from the row as in scan_flat: any number of them
+    folder = F.concat(F.lit(f"{ROOT}/"), F.col("host"), F.lit("/en"))
+    outside = (F.col("path") != folder) & ~F.col("path").startswith(F.concat(folder, F.lit("/")))
+    return p.filter(~F.col("host").startswith("www") | outside).select("path")
 
 
 @query(f"WITH {P} SELECT path, (row_number() OVER (ORDER BY string_split(path, '/')) - 1)::INTEGER AS place FROM p")
