@@ -10,26 +10,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from twinsift.operators.components import ensure_checkpoint_dir
+
 # The white space of the contracts: [\x20\x09-\x0D].  All ASCII, so bytes suffice.
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 WHITE_BYTES = b" \t\n\x0b\x0c\r"
 
-_BASE = 0x9E3779B97F4A7C15
-_TABLE = np.random.Generator(np.random.PCG64(20)).integers(1, 2**63, 256, dtype=np.uint64)
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+# Two independent polynomial hashes: odd bases and random values of the bytes.
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_TABLES = [np.random.Generator(np.random.PCG64(20 + i)).integers(1, 2**63, 256, dtype=np.uint64) for i in range(2)]
+_powers = [(np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64))] * 2
 
 
 def checkpoint_dir(spark):
     """Makes checkpoint() usable: the cluster's shared folder if it names one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        if named is None:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="checkpoint-")  # local sessions only
-        sc.setCheckpointDir(named)
+    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -67,22 +63,24 @@ def flat(column):
     return data, off - off[0]
 
 
-def powers(n):
+def powers(n, which=0):
     """base**i and its inverse, modulo 2**64, for i up to n."""
-    if len(_powers[0]) <= n:
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+    if len(_powers[which][0]) <= n:
+        pair = []
+        for b in (_BASES[which], pow(_BASES[which], -1, 2**64)):
             p = np.full(n + 1, b, dtype=np.uint64)
             p[0] = 1
             np.multiply.accumulate(p, out=p)
-            _powers[k] = p
-    return _powers[0], _powers[1]
+            pair.append(p)
+        _powers[which] = tuple(pair)
+    return _powers[which]
 
 
-def prefix(buf):
+def prefix(buf, which=0):
     """Prefix sums of a polynomial hash; range_hash reads any byte range from them."""
-    pw, _ = powers(len(buf) + 1)
+    pw, _ = powers(len(buf) + 1, which)
     out = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(_TABLE[buf] * pw[: len(buf)], out=out[1:])
+    np.cumsum(_TABLES[which][buf] * pw[: len(buf)], out=out[1:])
     return out
 
 
@@ -96,12 +94,26 @@ def mix(x):
     return x
 
 
-def range_hash(pre, start, end):
+def range_hash(pre, start, end, which=0):
     """64-bit hashes of the byte ranges [start, end); equal bytes, equal hash."""
-    _, inv = powers(len(pre))
+    _, inv = powers(len(pre), which)
     return mix((pre[end] - pre[start]) * inv[start] + (end - start).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
+def hashes(buf, start, end, which=0, step=1 << 20):
+    """range_hash of ranges with ascending starts, from prefix sums over about `step` bytes at
+    a time, so that a document of any length costs no more memory than that."""
+    out = np.empty(len(start), dtype=np.uint64)
+    i = 0
+    while i < len(start):
+        a = int(start[i])
+        j = int(np.searchsorted(start, a + step))
+        pre = prefix(buf[a : int(end[i:j].max())], which)
+        out[i:j] = range_hash(pre, start[i:j] - a, end[i:j] - a, which)
+        i = j
+    return out
+
+
 def words(buf, off):
     """(starts, ends, doc) of the maximal runs of other than white space."""
     n = len(buf)
@@ -136,7 +148,7 @@ def word_counts(column):
 def hashed_words(buf, off):
     """(64-bit hash, doc) of each word."""
     s, e, doc = words(buf, off)
-    return range_hash(prefix(buf), s, e), doc
+    return hashes(buf, s, e), doc
 
 
 def shingles(buf, off, width=5):
@@ -190,12 +202,14 @@ def unpack_sorted(data, n):
     return np.cumsum(unpack_planes(data, n, 8).view("<u8").ravel(), dtype=np.uint64)
 
 
-def pack_counts(x):
-    return pack_planes(x.astype("<u4").view(np.uint8).reshape(-1, 4))
+def pack(x):
+    """Numbers as compressed byte planes."""
+    return pack_planes(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize))
 
 
-def unpack_counts(data, n):
-    return unpack_planes(data, n, 4).view("<u4").ravel().astype(np.int64)
+def unpack(data, n, dtype):
+    dtype = np.dtype(dtype)
+    return unpack_planes(data, n, dtype.itemsize).view(dtype).reshape(-1)
 
 
 def pack_planes(m):

@@ -55,7 +55,7 @@ def statistics(column):
         long = (e - s).astype(np.float64)
         mean = np.bincount(doc, long, minlength=n) / w1
         spread = np.sqrt(np.maximum(np.bincount(doc, long * long, minlength=n) / w1 - mean * mean, 0))
-        h = K.range_hash(K.prefix(buf), s, e)
+        h = K.hashes(buf, s, e)
         same = np.zeros(len(h), dtype=bool)
         same[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
         key = np.sort((doc.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)))

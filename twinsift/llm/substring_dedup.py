@@ -1,229 +1,254 @@
-"""Removal of repeated byte strings, by sorted sampled suffixes.
+"""Removal of repeated byte strings by a difference cover, depth `length`.
 
 Every byte that a string of `length` bytes covers is removed if that string also starts
-anywhere else.  A full difference-cover suffix array would sort two thirds of all byte
-positions; here the sample is content-defined, so that it needs sorting only where text
-repeats, and the other suffixes are placed by their distance to a sampled one:
-
-1. Sample: in each window of `length` bytes the least-hashed `seed`-byte string is its
-   anchor.  Equal windows have equal anchors at equal offsets - what a difference cover
-   gives by position.  Consecutive windows with one anchor make one span.
-2. Names: spans are grouped by the anchor's name and the whole span's name, combined on
-   the map side.  A span whose whole string occurs twice is repeated throughout; an anchor
-   that occurs once ends the search for all its windows.
-3. Merge: what is left are spans at the edges of repeats, of which one of each content is
-   kept.  Around a shared anchor their remaining windows are sorted by name and neighbours
-   compared.  An anchor with very many different spans is dealt to several tasks by window
-   name, so no task holds more than about `hot` spans' windows.
-4. The windows found are merged per document and cut out of its bytes.
-
-Names are 64-bit hashes of the bytes.  Defined cases: null text is empty; texts shorter
-than `length` keep everything; a string that repeats inside one document counts; rows that
-repeat a doc_id are read as separate texts, each of which loses what either shares with
-any text; a null doc_id is an id of its own; an empty table gives an empty result.
+anywhere else.  The sample are the places whose remainder modulo a period lies in a perfect
+difference set (12 of each 133 places for 200 bytes): for any two places there is a distance
+below the period at which both are sampled, so two equal strings always meet at sampled places
+within them.  Only an order up to `length` bytes is needed, so equal names stand in for
+neighbours in the sorted order, and each step is one round of `naming`:
+
+1. Sort the sample: a sampled place is named by the `length` - period + 1 bytes after it (68),
+   which any equal pair has in common there.  Names that occur once drop out.
+2. Recurse on the names that repeat: each becomes a triple of its name, of the names of the
+   strings that start in each third of the period before it, and of the whole context that
+   all strings through it cover.  A context that occurs twice settles all its strings as
+   repeated; a third whose name is alone drops out; one of the places of each context goes on.
+3. Merge what remains: strings (sampled or not) that start at the cover's distances before
+   such places are named by all their bytes, and equal ones are neighbours.
+
+The runs found are cut out of their block in the same pass that reads the answers.  Names that
+only drop candidates have 64 bits; those that settle a removal have 128 (contexts) and 96
+(strings), so that no collision is to be expected at any size of corpus.  Work is spread by
+ranges of names and blocks of text; a name is one entry a block, so a line that every document
+has is no hot key.
+
+Defined cases: null text is empty; texts shorter than `length` keep everything; a string that
+repeats inside one document counts; rows that repeat a doc_id, or have none, are separate texts
+and each gets its row; other columns, whatever their names, are ignored; an empty table gives
+an empty result.  A text of any length is read in steps of a megabyte.
 """
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import kernels as K
-
-PIECE = 4 << 20  # longer documents are read in pieces that overlap by length - 1
-LOW = np.uint64((1 << 24) - 1)
-
-
-def spans(buf, off, length, seed):
-    """(doc, start, windows, anchor, whole): runs of windows with one anchor."""
-    n, w = len(buf), length - seed + 1
-    none = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2
-    if n < length:
-        return none
-    pre, i = K.prefix(buf), np.arange(n - seed + 1)
-    key = (K.range_hash(pre, i, i + seed) & ~LOW) | i.astype(np.uint64)  # ties: the leftmost
-    low, span = key, 1
-    while span * 2 <= w:
-        low = np.minimum(low[:-span], low[span:])
-        span *= 2
-    if w > span:
-        low = np.minimum(low[: len(low) - (w - span)], low[w - span :])
-    fits = np.zeros(n + 1, dtype=np.int32)  # windows that lie in one document
-    for a, b in ((x, y) for x, y in zip(off[:-1], off[1:]) if y - x >= length):
-        fits[a] += 1
-        fits[b - length + 1] -= 1
-    p = np.flatnonzero(np.cumsum(fits[: len(low)]))
-    if not len(p):
-        return none
-    at = (low[p] & LOW).astype(np.int64)
-    first = np.ones(len(p), dtype=bool)
-    first[1:] = (at[1:] != at[:-1]) | (p[1:] != p[:-1] + 1)
-    f = np.flatnonzero(first)
-    start, count = p[f], np.diff(np.append(f, len(p)))
-    anchor = K.range_hash(pre, at[f], at[f] + seed)
-    whole = K.mix(K.range_hash(pre, start, start + count - 1 + length) ^ (at[f] - start).astype(np.uint64))
-    return np.searchsorted(off, start, "right") - 1, start, count, anchor, whole
-
-
-def pieces(column, length):
-    """(row, start in the row's bytes, bytes, offsets) of parts of at most PIECE bytes."""
-    for a, b in K.slices(column):
-        buf, off = K.flat(column.slice(a, b - a))
-        if len(buf) <= PIECE or b - a > 1:
-            yield a, 0, buf, off
-            continue
-        for s in range(0, len(buf) - length + 1, PIECE):
-            part = buf[s : s + PIECE + length - 1]
-            yield a, s, part, np.array([0, len(part)])
-
-
-def window_names(blob, off, length, salt, salts):
-    """(names, item, place) of the windows of each item that fall to this salt."""
-    pre = K.prefix(blob)
-    count = np.maximum(np.diff(off) - length + 1, 0)
-    item = np.repeat(np.arange(len(count)), count)
-    place = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
-    at = off[:-1][item] + place
-    h = K.range_hash(pre, at, at + length)
-    if salts > 1:
-        mine = h % np.uint64(salts) == np.uint64(salt)
-        h, item, place = h[mine], item[mine], place[mine]
-    return h, item, place
-
-
-def repeated_spans(docs, length=200, seed=64, hot=20_000):
-    """Rows doc_id, start, end (bytes) whose union is what is to be removed."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def sample(batches):
-        for b in batches:
-            for row, shift, buf, off in pieces(b["text"], length):
-                doc, start, count, anchor, whole = spans(buf, off, length, seed)
-                ids = b["doc_id"].take(pa.array(row + doc))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(start - off[doc] + shift), pa.array(count.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))], ["doc_id", "start", "windows", "anchor", "whole"])
-
-    all_ = docs.mapInArrow(sample, f"doc_id {kind}, start long, windows int, anchor long, whole long")
-    names = all_.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).filter("n > 1")
-    # a table of its own, so that the join below is of two plain exchanges and a hot anchor is split
-    names = names.checkpoint()
-    hit = all_.join(names.select("anchor", (F.col("lo") == F.col("hi")).alias("alike")), "anchor").checkpoint()
-    end = (F.col("start") + F.col("windows") - 1 + length).alias("end")
-    alike = hit.filter("alike").select("doc_id", "start", end)
-
-    mixed = hit.filter("not alike")
-    kinds = mixed.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "windows")).alias("at")).checkpoint()
-    whole = mixed.join(kinds.filter("n > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi").select("doc_id", "start", end)
-
-    salts = kinds.groupBy("anchor").agg(F.ceil(F.count("*") / hot).cast("int").alias("salts"), (F.min("n") == 1).alias("open")).filter("open").select("anchor", "salts")
-    asked = kinds.join(salts, "anchor").groupBy("at.doc_id").agg(F.collect_list(F.struct("anchor", "salts", (F.col("n") == 1).alias("single"), F.col("at.start").alias("start"), F.col("at.windows").alias("windows"))).alias("asked"))
-    texts = docs.join(asked.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "text", "asked")
-
-    def context(batches):
-        for b in K.parts(batches, "text", 1 << 20):
-            for i in range(b.num_rows):
-                text = b["text"][i].as_py()
-                text = text.encode() if text else b""
-                got = b["asked"][i].as_py()
-                cut = [text[a["start"] : a["start"] + a["windows"] - 1 + length] for a in got]
-                col = lambda n, t: pa.array([a[n] for a in got], t)
-                ids = b["doc_id"].take(pa.array(np.full(len(got), i)))
-                yield pa.RecordBatch.from_arrays([ids, col("start", pa.int64()), col("anchor", pa.int64()), col("salts", pa.int32()), col("single", pa.bool_()), pa.array(cut, pa.binary())], ["doc_id", "start", "anchor", "salts", "single", "bytes"])
-
-    # a repeated row gives its spans twice; one of each place is enough
-    around = texts.mapInArrow(context, f"doc_id {kind}, start long, anchor long, salts int, single boolean, bytes binary")
-    around = around.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-
-    def merge(batches):
-        held = []  # (names, item, place) of whole groups, over all batches since the last flush
-        ids, starts, single, count = [], [], [], 0
-
-        def flush():
-            nonlocal held, ids, starts, single, count
-            h, item, place = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(h, kind="stable")
-            same = np.zeros(len(h), dtype=bool)
-            eq = h[order][1:] == h[order][:-1]
-            same[order[1:][eq]] = True
-            same[order[:-1][eq]] = True
-            lone = np.concatenate(single)
-            same &= lone[item]
-            item, place = item[same], place[same]
-            f = np.flatnonzero(np.diff(item, prepend=-1))
-            who = item[f]
-            lo = np.minimum.reduceat(place, f) if len(f) else place[:0]
-            hi = np.maximum.reduceat(place, f) if len(f) else place[:0]
-            start = np.concatenate(starts)[who]
-            out = pa.RecordBatch.from_arrays([pa.concat_arrays(ids).take(pa.array(who)), pa.array(start + lo), pa.array(start + hi + length)], ["doc_id", "start", "end"])
-            held, ids, starts, single, count = [], [], [], [], 0
-            return out
-
-        last, seen = None, None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            anchor, salt = b["anchor"].to_numpy(), b["salt"].to_numpy()
-            new = np.flatnonzero(np.diff(anchor) | np.diff(salt)) + 1
-            for x, y in zip([0, *new], [*new, b.num_rows]):
-                group = (anchor[x], salt[x])
-                if group != last:
-                    if sum(len(k[0]) for k in held) > 500_000:
-                        yield flush()
-                    last, seen = group, set()
-                keep = []
-                for k, d in enumerate(b["doc_id"].slice(x, y - x).to_pylist()):
-                    place = (d, b["start"][x + k].as_py())
-                    if place not in seen:
-                        seen.add(place)
-                        keep.append(x + k)
-                part = b.take(pa.array(keep))
-                for a, z in K.slices(part["bytes"]):
-                    sub = part.slice(a, z - a)
-                    h, item, place = window_names(*K.flat(sub["bytes"]), length, int(salt[x]), sub["salts"][0].as_py())
-                    held.append((h, item + count, place))
-                    count += z - a
-                    ids.append(sub["doc_id"])
-                    starts.append(sub["start"].to_numpy())
-                    single.append(sub["single"].to_numpy(zero_copy_only=False))
-        if held:
-            yield flush()
-
-    edges = around.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(merge, f"doc_id {kind}, start long, end long")
-    return alike.unionByName(whole).unionByName(edges)
-
-
-def union(found):
-    """Sorted, merged (start, end) runs."""
-    out = []
-    for s, e in sorted(found):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return out
-
-
-def remove_repeats(docs, length=200, text="text", key="doc_id", seed=64, hot=20_000):
+from . import naming as N
+
+# Perfect difference sets (each difference modulo the period occurs).
+COVERS = {
+    7: (0, 1, 3),
+    13: (0, 1, 3, 9),
+    31: (1, 5, 11, 24, 25, 27),
+    133: (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121),
+}
+THIRDS = 3
+SETTLED, GOES_ON = 1, 2  # an entry's answer in the second round; bits 2.. are its thirds
+
+
+class Cover:
+    def __init__(self, length):
+        fit = [p for p in COVERS if 3 * p <= 2 * length]
+        if not fit:
+            raise ValueError(f"strings of {length} bytes are too short to remove; at least {-(-3 * min(COVERS) // 2)}")
+        self.length, self.period = length, max(fit)
+        self.places = np.array(COVERS[self.period], dtype=np.int64)
+        self.name = length - self.period + 1
+        edge = np.linspace(0, self.period, THIRDS + 1).astype(int)
+        self.thirds = [(int(a), int(b) - 1) for a, b in zip(edge[:-1], edge[1:])]  # distances to a string's start
+
+    def sample(self, off):
+        """(place, document) of the sampled places of a block, ascending."""
+        starts = np.maximum(np.diff(off) - self.name + 1, 0)
+        whole, rest = np.divmod(starts, self.period)
+        count = whole * len(self.places) + np.searchsorted(self.places, rest)
+        doc = np.repeat(np.arange(len(count)), count)
+        k = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+        return off[doc] + self.period * (k // len(self.places)) + self.places[k % len(self.places)], doc
+
+    def names(self, buf, place):
+        return K.hashes(buf, place, place + self.name)
+
+    def contexts(self, buf, off, place, doc):
+        """(64-bit names of the contexts, 32-bit names of each third; 0: no string there)."""
+        a, b = np.maximum(place - self.period + 1, off[doc]), np.minimum(place + self.length, off[doc + 1])
+        whole = K.mix(K.hashes(buf, a, b) ^ K.mix((place - a).astype(np.uint64) * np.uint64(self.length + 1) + (b - place).astype(np.uint64)))
+        parts = []
+        for lo, hi in self.thirds:
+            a, b = place - lo, place + self.length - hi
+            fits = (a >= off[doc]) & (b <= off[doc + 1])
+            h = np.zeros(len(place), dtype="<u4")
+            h[fits] = (K.hashes(buf, a[fits], b[fits], 1) >> np.uint64(32)).astype("<u4") | np.uint32(1)
+            parts.append(h)
+        return whole, parts
+
+    def strings(self, off, place, doc, lo, hi):
+        """(first, last) starts of the strings whose distance to a place is from lo to hi."""
+        a, b = np.maximum(place - hi, off[doc]), np.minimum(place - lo, off[doc + 1] - self.length)
+        return a[a <= b], b[a <= b]
+
+
+def merged(a, b):
+    """Union of closed intervals."""
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order]) if len(b) else b
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = a[1:] > b[:-1] + 1
+    last = np.append(new[1:], True) if len(a) else new
+    return a[new], b[last]
+
+
+def spread(a, b):
+    """All places of disjoint closed intervals."""
+    n = b - a + 1
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+
+
+def distinct(*keys):
+    """Distinct rows of arrays in sorted order: (index of the first place of each, whether it
+    has more, the number of each row)."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    at = np.flatnonzero(new)
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[at], np.diff(np.append(at, len(order))) > 1, number
+
+
+class Block:
+    """What a block of texts knows after each round; every pass computes it anew."""
+
+    def __init__(self, cover, number, buf, off):
+        self.cover, self.number, self.buf, self.off = cover, number, buf, off
+        self.place, self.doc = cover.sample(off)
+        self.name = cover.names(buf, self.place)
+
+    def first(self):
+        at, more, _ = distinct(self.name)
+        return self.name[at], more
+
+    def second(self, told):
+        _, _, number = distinct(self.name)
+        alive = N.answers(told, self.number, 1, np.uint8)[number] > 0
+        self.place, self.doc, self.name = self.place[alive], self.doc[alive], self.name[alive]
+        whole, parts = self.cover.contexts(self.buf, self.off, self.place, self.doc)
+        self.at, more, self.kind = distinct(self.name, whole)
+        return self.name[self.at], whole[self.at], more, *(p[self.at] for p in parts)
+
+    def third(self, told):
+        """Sorted names of the strings that are still to be compared; settled intervals."""
+        self.second(told)
+        say = N.answers(told, self.number, 2, np.uint8)
+        settled = say[self.kind] & SETTLED > 0
+        cover = self.cover
+        self.settled = merged(*cover.strings(self.off, self.place[settled], self.doc[settled], 0, cover.period - 1))
+        runs = [(np.zeros(0, np.int64),) * 2]
+        for k, (lo, hi) in enumerate(cover.thirds):
+            on = self.at[(say & GOES_ON > 0) & (say & (4 << k) > 0)]
+            on.sort()
+            runs.append(cover.strings(self.off, self.place[on], self.doc[on], lo, hi))
+        self.start = spread(*merged(*(np.concatenate(x) for x in zip(*runs))))
+        one = K.hashes(self.buf, self.start, self.start + cover.length)
+        two = (K.hashes(self.buf, self.start, self.start + cover.length, 1) >> np.uint64(32)).astype("<u4")
+        at, more, self.string = distinct(one, two)
+        return one[at], two[at], more
+
+    def removed(self, told):
+        """(document, first, end) of the byte runs that go, disjoint and ascending."""
+        self.third(told)
+        hit = self.start[N.answers(told, self.number, 3, np.uint8)[self.string] > 0]
+        a, b = merged(np.concatenate([self.settled[0], hit]), np.concatenate([self.settled[1], hit]))
+        doc = np.searchsorted(self.off, a, "right") - 1  # a run of starts stays in its document
+        split = doc * (self.cover.length + 1)  # and so must the runs of bytes
+        a, b = merged(a + split, b + split + self.cover.length - 1)
+        doc = np.searchsorted(self.off + np.arange(len(self.off)) * (self.cover.length + 1), a, "right") - 1
+        split = doc * (self.cover.length + 1)
+        return doc, a - split, b - split + 1
+
+
+def second_answers(name, whole, more, parts, block):
+    """SETTLED, GOES_ON and the thirds that have another place, for each entry of a range."""
+    order = np.lexsort((block, whole, name))
+    n, w, seen = name[order], whole[order], more[order]
+    new = np.ones(len(n), dtype=bool)
+    new[1:] = (n[1:] != n[:-1]) | (w[1:] != w[:-1])
+    kind = np.cumsum(new) - 1
+    many = (np.bincount(kind, weights=1.0 + seen) > 1.5)[kind] if len(n) else np.zeros(0, bool)
+    out = np.zeros(len(n), dtype=np.uint8)
+    for k, p in enumerate(parts):
+        p = p[order]
+        alive = N.repeated(K.mix(n ^ K.mix(p.astype(np.uint64) + np.uint64(k << 40))), seen) & (p > 0)
+        out |= alive.astype(np.uint8) << np.uint8(2 + k)
+    top = np.ones(len(n), dtype=bool)
+    top[1:] = n[1:] != n[:-1]
+    group = np.cumsum(top) - 1
+    # a name goes on if one of its places isn't settled and has a third to be compared
+    open_ = np.bincount(group, weights=(~many & (out > 0)).astype(float)) > 0 if len(n) else np.zeros(0, bool)
+    out |= np.where(new & open_[group], np.uint8(GOES_ON), np.uint8(0)) if len(n) else out
+    out |= many.astype(np.uint8) * np.uint8(SETTLED)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def repeated_bytes(docs, kind, length):
+    """Applies the rounds; rows of each block with what is cut out of its texts."""
+    cover = Cover(length)
+    spark, size = docs.sparkSession, N.text_bytes(docs)
+    packed = N.blocks(docs, kind, size)
+    samples = N.ranges_for(spark, size * len(cover.places) // cover.period)
+    strings = N.ranges_for(spark, size // 4)
+
+    def first(t):
+        return pa.concat_tables(N.ask(n, samples, *Block(cover, n, buf, off).first()) for n, _, buf, off in N.opened(t))
+
+    def second(t, told):
+        return pa.concat_tables([N.ask(0, 1, np.zeros(0, np.uint64)), *(N.ask(n, samples, *Block(cover, n, buf, off).second(told)) for n, _, buf, off in N.opened(t))])
+
+    def third(t, told):
+        return pa.concat_tables([N.ask(0, 1, np.zeros(0, np.uint64)), *(N.ask(n, strings, *Block(cover, n, buf, off).third(told)) for n, _, buf, off in N.opened(t))])
+
+    def answer_first(t):
+        keys, more = N.asked(t, bool)
+        return N.answer(t, 1, N.repeated(keys, more).astype(np.uint8))
+
+    def answer_second(t):
+        name, whole, more, *parts = N.asked(t, "<u8", bool, *["<u4"] * THIRDS)
+        return N.answer(t, 2, second_answers(name, whole, more, parts, np.repeat(t["block"].to_numpy(), t["n"].to_numpy())))
+
+    def answer_third(t):
+        one, two, more = N.asked(t, "<u4", bool)
+        return N.answer(t, 3, N.repeated(K.mix(one ^ K.mix(two.astype(np.uint64))), more).astype(np.uint8))
+
+    runs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
+
+    def cut(t, told):
+        out = []
+        for n, ids, buf, off in N.opened(t):
+            doc, a, b = Block(cover, n, buf, off).removed(told)
+            edge = np.zeros(len(buf) + 1, dtype=np.int8)
+            edge[a] += 1  # runs of one document never touch; of two they may
+            edge[b] -= 1
+            keep = np.cumsum(edge[:-1], dtype=np.int8) == 0
+            left = np.concatenate([[0], np.cumsum(keep)])[off]
+            lists = np.searchsorted(doc, np.arange(len(off)))
+            kept = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(left.astype("<i4").tobytes()), pa.py_buffer(buf[keep].tobytes())]) if left[-1] < 2**31 else pa.array([buf[x:y][keep[x:y]].tobytes() for x, y in zip(off[:-1], off[1:])], pa.binary())
+            pairs = pa.StructArray.from_arrays([pa.array(a - off[doc]), pa.array(b - off[doc])], ["start", "end"])
+            out.append(pa.table([ids.cast(id_type), kept, pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pairs).cast(runs), pa.array(np.diff(off))], ["doc_id", "kept", "removed", "n_bytes"]))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], x) for x in (id_type, pa.binary(), runs, pa.int64())], ["doc_id", "kept", "removed", "n_bytes"])
+
+    told = N.by_range(packed.groupBy("block").applyInArrow(first, N.ASKED), samples).applyInArrow(answer_first, N.ANSWERED)
+    for ask, answer, ranges in ((second, answer_second, samples), (third, answer_third, strings)):
+        asked = packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ask, N.ASKED)
+        told = told.unionByName(N.by_range(asked, ranges).applyInArrow(answer, N.ANSWERED))
+    return packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(cut, f"doc_id {kind}, kept binary, removed array<struct<start:long,end:long>>, n_bytes long")
+
+
+def remove_repeats(docs, length=200, text="text", key="doc_id"):
     """One row for each row of `docs`: key, kept (binary), removed (array of struct<start,end>
     of bytes), n_bytes."""
-    K.checkpoint_dir(docs.sparkSession)
-    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = repeated_spans(docs, length, seed, hot)
-    found = found.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set(F.struct("start", "end")).alias("found"))
-    both = docs.join(found, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "found")
-
-    def cut(batches):
-        for b in K.parts(batches, "text"):
-            kept, removed, sizes = [], [], []
-            for t, f in zip(b["text"], b["found"]):
-                data = t.as_py().encode() if t.is_valid else b""
-                runs = union([(x["start"], min(x["end"], len(data))) for x in f.as_py()]) if f.is_valid else []
-                ends = [0, *(e for _, e in runs)]
-                kept.append(b"".join(data[a:s] for a, s in zip(ends, [*(s for s, _ in runs), len(data)])))
-                removed.append([{"start": s, "end": e} for s, e in runs])
-                sizes.append(len(data))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(kept, pa.binary()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(sizes, pa.int64())], ["doc_id", "kept", "removed", "n_bytes"])
-
-    out = both.mapInArrow(cut, f"doc_id {kind}, kept binary, removed array<struct<start:long,end:long>>, n_bytes long")
-    return out.withColumnRenamed("doc_id", key)
+    docs = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return repeated_bytes(docs, docs.schema["doc_id"].dataType.simpleString(), length).withColumnRenamed("doc_id", key)
