@@ -69,27 +69,38 @@ def test_substrings_on_documents(spark):
     assert got == want
 
 
-def test_substrings_with_a_hot_anchor_and_small_pieces(spark, monkeypatch):
+def test_substrings_with_a_common_passage(spark, monkeypatch):
     rng = random.Random(8)
     noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
     shared = noise(230)
     docs = docs_of(spark, [noise(rng.randint(0, 90)) + shared[rng.randint(0, 20) :] + noise(rng.randint(0, 90)) for _ in range(120)])
-    assert removed_rows(substring_dedup.remove_repeats(docs, hot=10)) == brute_removed(texts(docs))
+    assert removed_rows(substring_dedup.remove_repeats(docs)) == brute_removed(texts(docs))
 
 
-def test_long_documents_are_read_in_pieces():
-    rng = np.random.default_rng(3)
-    import pyarrow as pa
+def test_covers_have_every_difference():
+    for period, places in substring_dedup.COVERS.items():
+        assert {(a - b) % period for a in places for b in places} == set(range(period))
+
+
+@pytest.mark.parametrize("length", [11, 20, 47, 200, 300])
+def test_substrings_of_any_length(spark, length):
+    rng = random.Random(length)
+    noise = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    shared = [noise(length + k) for k in (-1, 0, 1, 2 * length)]
+    rows = [noise(rng.randint(0, 50)) + rng.choice(shared) + noise(rng.randint(0, 9)) + rng.choice(shared)[rng.randint(0, 3) :] for _ in range(40)]
+    docs = docs_of(spark, rows + ["ab" * length, "c" * (2 * length), None, ""]).repartition(3)
+    got = removed_rows(substring_dedup.remove_repeats(docs, length=length))
+    assert got == brute_removed(texts(docs), length)
 
-    text = bytes(rng.integers(97, 123, 5000, dtype=np.uint8)).decode()
-    whole = {int(p) for d, s, n, _, _ in [substring_dedup.spans(*K.flat(pa.array([text])), 200, 64)] for a, b in zip(s, n) for p in range(a, a + b)}
-    old, substring_dedup.PIECE = substring_dedup.PIECE, 1000
-    try:
-        parts = [(shift, *substring_dedup.spans(buf, off, 200, 64)) for _, shift, buf, off in substring_dedup.pieces(pa.array([text]), 200)]
-    finally:
-        substring_dedup.PIECE = old
-    cut = [int(p) + shift for shift, _, s, n, _, _ in parts for a, b in zip(s, n) for p in range(a, a + b)]
-    assert len(cut) == len(set(cut)) and set(cut) == whole == set(range(4801))
+
+def test_hashes_in_steps():
+    rng = np.random.default_rng(3)
+    buf = rng.integers(0, 256, 5000).astype(np.uint8)
+    a = np.sort(rng.integers(0, 4700, 900))
+    b = a + rng.integers(0, 300, 900)
+    for which in (0, 1):
+        whole = K.range_hash(K.prefix(buf, which), a, b, which)
+        assert (K.hashes(buf, a, b, which, step=100) == whole).all()
 
 
 def brute_sets(of, width=5):
@@ -310,14 +321,44 @@ def test_backoff_scores(spark, odd, order):
         assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], rel=1e-9, abs=1e-9) for k in want)
 
 
-@pytest.mark.parametrize("name, order", [("op5_lm_score", 2), ("op5_lm_score_trigrams", 3)])
-def test_registered_scores_have_their_order(spark, name, order):
-    want = brute_lm(texts(queries.table(spark, SF, "documents")), order)
-    got = {r["doc_id"]: (r["n_words"], r["log_score"]) for r in queries.QUERIES[name](spark, SF).collect()}
+def test_the_registered_score_has_trigrams(spark):
+    want = brute_lm(texts(queries.table(spark, SF, "documents")), 3)
+    got = {r["doc_id"]: (r["n_words"], r["log_score"]) for r in queries.op5_lm_score(spark, SF).collect()}
     assert got.keys() == want.keys()
     assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], rel=1e-9, abs=2e-6) for k in want)
 
 
+def test_counts_beyond_32_bits(spark):
+    import pyarrow as pa
+
+    from twinsift.llm import naming as N
+
+    keys, counts = np.array([3, 9, 2**63 + 1], np.uint64), np.array([2**32 + 5, 7, 2**40], np.int64)
+    t = pa.concat_tables([N.ask(0, 1, keys, counts), N.ask(1, 1, keys[:2], counts[:2])])
+    back = N.answer(t, 1, lm_score.summed(*N.asked(t, "<i8")))
+    assert N.answers(back, 0, 1, "<i8").tolist() == [2**33 + 10, 14, 2**40]
+    assert N.answers(back, 1, 1, "<i8").tolist() == [2**33 + 10, 14]
+
+
+def test_names_meet_their_ranges_and_come_back(spark):
+    import pyarrow as pa
+
+    from twinsift.llm import naming as N
+
+    rng = np.random.default_rng(1)
+    some = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (0, 1, 500)]
+    for ranges in (1, 2, 64, 4096):
+        t = pa.concat_tables([N.ask(i, ranges, k, k >> np.uint64(60)) for i, k in enumerate(some)])
+        assert t.num_rows <= sum(map(len, some))
+        parts = [N.answer(t.filter(pa.compute.equal(t["range"], r)), 2, N.asked(t.filter(pa.compute.equal(t["range"], r)), "<u8")[0]) for r in set(t["range"].to_pylist())]
+        back = pa.concat_tables(parts)
+        for i, k in enumerate(some):
+            assert (N.answers(back, i, 2, "<u8") == k).all()
+    cols = N.blocks(docs_of(spark, [None, "", "aé", "b" * 3000]).select("doc_id", "text"), "bigint", 3000, 10).toArrow()
+    got = {d: buf[x:y].tobytes().decode() for _, ids, buf, off in N.opened(cols) for d, x, y in zip(ids.to_pylist(), off, off[1:])}
+    assert got == {0: "", 1: "", 2: "aé", 3: "b" * 3000} and len(set(cols["block"].to_pylist())) == cols.num_rows > 1
+
+
 def test_chat_round_trip_with_attachments(spark):
     text = lambda t: ("text", t, None, None, None, None, None)
     rows = [

@@ -1,47 +1,46 @@
 """Stupid-backoff language-model scores, computed relationally.
 
-Documents are dealt to blocks by a hash of their id.  A block's n-grams (of 1 to `order`
-words) become its distinct 64-bit names and counts, one row for each range of names, so the
-count tables are partitioned by hash.  Joining the rows of a range gives the corpus count of
-each name, which goes back to the block it came from, where it is joined to the block's
-exploded n-grams, less the document's own counts, and summed per document:
+A block of texts explodes into its n-grams of 1 to `order` words and asks, in one round of
+`naming`, with each distinct n-gram's 64-bit name and its count in the block; the count tables
+are partitioned by ranges of the hash, and a range adds up the counts of its names.  The corpus
+counts go back to the blocks, where they are joined to the exploded n-grams, less the
+document's own counts, and summed per document:
 
     score(w | h) = c(h w) / c(h)  if c(h w) > 0,  else  backoff * score(w | shorter h)
 
-with c(w) / N for one word and 1 / (N + 1) for a word that no other document has.  Rows
-carry sorted names as packed bytes, so the exchange moves about six bytes an n-gram; a
-frequent n-gram is one entry a block, so no key is hot.  Blocks have about `block_bytes` of
-text (one document at least) and ranges about as many names.
+with c(w) / N for one word and 1 / (N + 1) for a word that no other document has.  Counts have
+64 bits throughout.  Names are not verified: at 10^13 different n-grams about one in two
+million shares its name with another, whose count it then adds to its own.
 
 Defined cases: null or empty text has 0 words and score 0; a text of one word has only its
-single-word score; with one document every word is unknown; rows that repeat a doc_id are
-separate documents; ties don't occur; an empty table gives an empty result.
+single-word score; with one document every word is unknown; rows that repeat a doc_id, or have
+none, are separate documents; ties don't occur; other columns, whatever their names, are
+ignored; an empty table gives an empty result; a block has one document at least, so a very
+long text is held whole, at some 20 bytes a byte beside its n-grams.
 """
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import kernels as K
+from . import naming as N
 
 
-def ngrams(column, order):
+def ngrams(buf, off, order):
     """(doc, place, [names of the n-grams that end at each word, n = 1..order])."""
-    docs, places, names = [], [], [[] for _ in range(order)]
-    for a, b in K.slices(column):
-        h, doc = K.hashed_words(*K.flat(column.slice(a, b - a)))
-        n = np.bincount(doc, minlength=b - a)
-        docs.append(doc + a)
-        places.append(np.arange(len(doc)) - (np.cumsum(n) - n)[doc])
-        g = K.mix(h + np.uint64(1))
-        names[0].append(g)
-        for k in range(1, order):
-            back = np.zeros_like(g)
-            back[1:] = g[:-1]
-            g = K.mix(back * np.uint64(3) + h + np.uint64(k + 1))  # names that cross texts are never read
-            names[k].append(g)
-    cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return cat(docs, np.int64), cat(places, np.int64), [cat(x, np.uint64) for x in names]
+    h, doc = K.hashed_words(buf, off)
+    n = np.bincount(doc, minlength=len(off) - 1)
+    place = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
+    g = K.mix(h + np.uint64(1))
+    names = [g]
+    for k in range(1, order):
+        back = np.zeros_like(g)
+        back[1:] = g[:-1]
+        g = K.mix(back * np.uint64(3) + h + np.uint64(k + 1))  # names that cross texts are never read
+        names.append(g)
+    return doc, place, names
 
 
 def table(place, names):
@@ -49,9 +48,9 @@ def table(place, names):
     return np.unique(np.concatenate([g[place >= k] for k, g in enumerate(names)]), return_counts=True)
 
 
-def document_scores(column, order, keys, totals, n_words, backoff):
+def document_scores(buf, off, order, keys, totals, n_words, backoff):
     """(words, log score) of each text, given the corpus counts of the block's names."""
-    doc, place, names = ngrams(column, order)
+    doc, place, names = ngrams(buf, off, order)
     here = [place >= k for k in range(order)]
     at = [np.searchsorted(keys, g) for g in names]
     at = [np.where(ok, a, len(keys)) for a, ok in zip(at, here)]  # no n-gram: a name of its own
@@ -61,7 +60,7 @@ def document_scores(column, order, keys, totals, n_words, backoff):
         u, inv, own = np.unique(doc * width + a, return_inverse=True, return_counts=True)
         c = np.where(ok, totals[a] - own[inv], 0) if len(a) else np.zeros(0, np.int64)
         other.append(c)
-    words = np.bincount(doc, minlength=len(column))
+    words = np.bincount(doc, minlength=len(off) - 1)
     left = (n_words - words)[doc]
     out = np.full(len(doc), np.nan)
     for n in range(order, 0, -1):
@@ -76,53 +75,48 @@ def document_scores(column, order, keys, totals, n_words, backoff):
         out[use] = np.log(c[use] / h[use]) + lost[use] * np.log(backoff)
     use = np.isnan(out)
     out[use] = -np.log(left[use] + 1.0) + np.minimum(place, order - 1)[use] * np.log(backoff)
-    return words, np.bincount(doc, out, minlength=len(column))
+    return words, np.bincount(doc, out, minlength=len(off) - 1)
 
 
-def backoff_scores(docs, order=2, backoff=0.4, text="text", key="doc_id", block_bytes=8 << 20):
+def summed(keys, counts):
+    """For each entry of a range the corpus count of its name."""
+    order = np.argsort(keys, kind="stable")
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[order][1:] != keys[order][:-1]
+    total = np.add.reduceat(counts[order], np.flatnonzero(new)) if len(keys) else counts
+    out = np.empty(len(keys), dtype=np.int64)
+    out[order] = total[np.cumsum(new) - 1]
+    return out
+
+
+def backoff_scores(docs, order=3, backoff=0.4, text="text", key="doc_id", block_bytes=None):
     """One row for each row of `docs`: key, n_words, log_score (natural), mean_log_score."""
-    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    spark, kind, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString(), to_arrow_type(docs.schema["doc_id"].dataType)
 
     def count(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([int(K.word_counts(b["text"]).sum())]), pa.array([len(K.flat(b["text"])[0])])], ["words", "bytes"])
 
-    n_words, n_bytes = docs.select("text").mapInArrow(count, "words long, bytes long").agg(F.sum("words"), F.sum("bytes")).first()
-    n_words, n_bytes = n_words or 0, n_bytes or 0
-    blocks = max(1, -(-n_bytes // block_bytes))
-    ranges = 1 << max(0, (blocks - 1).bit_length())
-    # the number of partitions is stated, so that both uses of the texts share one exchange
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int"))
-
-    def tables(t):
-        keys, counts = table(*ngrams(t["text"].combine_chunks(), order)[1:])
-        edge = (np.arange(1, ranges, dtype=np.uint64) * np.uint64(2**64 // ranges)) if ranges > 1 else np.zeros(0, np.uint64)
-        cut = [0, *np.searchsorted(keys, edge), len(keys)]
-        rows = [(r, K.pack_sorted(keys[a:b]), K.pack_counts(counts[a:b]), int(b - a)) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-        block = t["block"][0].as_py() if t.num_rows else 0
-        cols = list(zip(*rows)) or [()] * 4
-        return pa.table({"range": pa.array(cols[0], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "names": pa.array(cols[1], pa.binary()), "counts": pa.array(cols[2], pa.binary()), "n": pa.array(cols[3], pa.int32())})
-
-    def join(t):
-        sizes = t["n"].to_numpy()
-        keys = np.concatenate([K.unpack_sorted(x, n) for x, n in zip(t["names"].to_pylist(), sizes)])
-        counts = np.concatenate([K.unpack_counts(x, n) for x, n in zip(t["counts"].to_pylist(), sizes)])
-        _, inv = np.unique(keys, return_inverse=True)
-        total = np.bincount(inv, counts).astype(np.int64)[inv]
-        ends = np.cumsum(sizes)
-        return pa.table({"range": t["range"], "block": t["block"], "totals": pa.array([K.pack_counts(total[e - n : e]) for e, n in zip(ends, sizes)], pa.binary()), "n": t["n"]})
-
-    def scores(t, c):
-        order_ = np.argsort(c["range"].to_numpy(), kind="stable")
-        packed, sizes = c["totals"].to_pylist(), c["n"].to_numpy()
-        column = t["text"].combine_chunks()
-        keys, _ = table(*ngrams(column, order)[1:])
-        totals = np.concatenate([K.unpack_counts(packed[i], sizes[i]) for i in order_]) if len(order_) else np.zeros(0, np.int64)
-        words, log = document_scores(column, order, keys, totals, n_words, backoff)
-        return pa.table({"doc_id": t["doc_id"], "n_words": pa.array(words, pa.int64()), "log_score": pa.array(log, pa.float64())})
-
-    counted = dealt.groupBy("block").applyInArrow(tables, "range int, block int, names binary, counts binary, n int")
-    totals = counted.groupBy("range").applyInArrow(join, "range int, block int, totals binary, n int")
-    out = dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(scores, f"doc_id {kind}, n_words long, log_score double")
+    n_words, size = docs.select("text").mapInArrow(count, "words long, bytes long").agg(F.sum("words"), F.sum("bytes")).first()
+    n_words, size = n_words or 0, size or 0
+    packed = N.blocks(docs, kind, size, block_bytes)
+    ranges = N.ranges_for(spark, n_words * order)
+
+    def ask(t):
+        return pa.concat_tables(N.ask(n, ranges, *table(*ngrams(buf, off, order)[1:])) for n, _, buf, off in N.opened(t))
+
+    def add(t):
+        return N.answer(t, 1, summed(*N.asked(t, "<i8")))
+
+    def scores(t, told):
+        out = [pa.table([pa.array([], x) for x in (id_type, pa.int64(), pa.float64())], ["doc_id", "n_words", "log_score"])]
+        for n, ids, buf, off in N.opened(t):
+            keys, _ = table(*ngrams(buf, off, order)[1:])
+            words, log = document_scores(buf, off, order, keys, N.answers(told, n, 1, "<i8"), n_words, backoff)
+            out.append(pa.table([ids.cast(id_type), pa.array(words, pa.int64()), pa.array(log, pa.float64())], ["doc_id", "n_words", "log_score"]))
+        return pa.concat_tables(out)
+
+    totals = N.by_range(packed.groupBy("block").applyInArrow(ask, N.ASKED), ranges).applyInArrow(add, N.ANSWERED)
+    out = packed.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(scores, f"doc_id {kind}, n_words long, log_score double")
     return out.select(F.col("doc_id").alias(key), "n_words", "log_score", F.try_divide("log_score", "n_words").alias("mean_log_score"))

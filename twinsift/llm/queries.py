@@ -30,16 +30,12 @@ def op4_bfd_packing(spark, sf_dir):
     return T.pieces_of(bfd_packing.pack(table(spark, sf_dir, "documents")))
 
 
-def op5_lm_score(spark, sf_dir, order=2):
-    """Bigrams, as its SQL states."""
-    out = lm_score.backoff_scores(table(spark, sf_dir, "documents"), order=order)
+def op5_lm_score(spark, sf_dir):
+    """Trigrams."""
+    out = lm_score.backoff_scores(table(spark, sf_dir, "documents"), order=3)
     return out.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 9).alias("mean_log_score"))
 
 
-def op5_lm_score_trigrams(spark, sf_dir):
-    return op5_lm_score(spark, sf_dir, order=3)
-
-
 def op6_hilbert_packing(spark, sf_dir):
     return T.pieces_of(hilbert_packing.pack(table(spark, sf_dir, "documents")))
 
@@ -71,7 +67,7 @@ def op10_quality(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_jaccard_join, op3_exact_dedup, op4_bfd_packing, op5_lm_score, op5_lm_score_trigrams, op6_hilbert_packing, op7_chat_format, op8_mixing, op9_topk, op10_quality)
+    for f in (op1_suffix_dedup, op2_jaccard_join, op3_exact_dedup, op4_bfd_packing, op5_lm_score, op6_hilbert_packing, op7_chat_format, op8_mixing, op9_topk, op10_quality)
 }
 
 ORACLES = {
@@ -92,16 +88,20 @@ ORACLES = {
     "op5_lm_score": """
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
         p AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
-        q AS (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS h FROM p),
+        q AS (SELECT *, lag(x) OVER d AS h, lag(x, 2) OVER d AS g FROM p WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
         o1 AS (SELECT doc_id, x, count(*) AS c FROM q GROUP BY doc_id, x), c1 AS (SELECT x, sum(c) AS c FROM o1 GROUP BY x),
         o2 AS (SELECT doc_id, h, x, count(*) AS c FROM q WHERE h IS NOT NULL GROUP BY doc_id, h, x), c2 AS (SELECT h, x, sum(c) AS c FROM o2 GROUP BY h, x),
+        o3 AS (SELECT doc_id, g, h, x, count(*) AS c FROM q WHERE g IS NOT NULL GROUP BY doc_id, g, h, x), c3 AS (SELECT g, h, x, sum(c) AS c FROM o3 GROUP BY g, h, x),
         l1 AS (SELECT doc_id, x, (c1.c - o1.c)::DOUBLE AS c FROM o1 JOIN c1 USING (x)), l2 AS (SELECT doc_id, h, x, (c2.c - o2.c)::DOUBLE AS c FROM o2 JOIN c2 USING (h, x)),
+        l3 AS (SELECT doc_id, g, h, x, (c3.c - o3.c)::DOUBLE AS c FROM o3 JOIN c3 USING (g, h, x)),
         n AS (SELECT doc_id, len(w)::BIGINT AS n, ((SELECT count(*) FROM p) - len(w))::DOUBLE AS rest FROM w),
-        r AS (SELECT q.doc_id, CASE WHEN l2.c > 0 THEN ln(l2.c / b.c)
-                WHEN a.c > 0 THEN ln(a.c / rest) + CASE WHEN q.h IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END
-                ELSE -ln(rest + 1) + CASE WHEN q.h IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END END AS s
-              FROM q JOIN n USING (doc_id) JOIN l1 a ON a.doc_id = q.doc_id AND a.x = q.x
-              LEFT JOIN l1 b ON b.doc_id = q.doc_id AND b.x = q.h LEFT JOIN l2 ON l2.doc_id = q.doc_id AND l2.h = q.h AND l2.x = q.x),
+        r AS (SELECT q.doc_id, CASE WHEN t.c > 0 THEN ln(t.c / hb.c)
+                WHEN b.c > 0 THEN ln(b.c / hu.c) + CASE WHEN q.g IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END
+                WHEN u.c > 0 THEN ln(u.c / rest) + CASE WHEN q.h IS NULL THEN 0 WHEN q.g IS NULL THEN ln(0.4::DOUBLE) ELSE 2 * ln(0.4::DOUBLE) END
+                ELSE -ln(rest + 1) + CASE WHEN q.h IS NULL THEN 0 WHEN q.g IS NULL THEN ln(0.4::DOUBLE) ELSE 2 * ln(0.4::DOUBLE) END END AS s
+              FROM q JOIN n USING (doc_id) JOIN l1 u ON u.doc_id = q.doc_id AND u.x = q.x
+              LEFT JOIN l1 hu ON hu.doc_id = q.doc_id AND hu.x = q.h LEFT JOIN l2 b ON b.doc_id = q.doc_id AND b.h = q.h AND b.x = q.x
+              LEFT JOIN l2 hb ON hb.doc_id = q.doc_id AND hb.h = q.g AND hb.x = q.h LEFT JOIN l3 t ON t.doc_id = q.doc_id AND t.g = q.g AND t.h = q.h AND t.x = q.x),
         t AS (SELECT doc_id, sum(s) AS s FROM r GROUP BY doc_id)
         SELECT n.doc_id, n AS n_words, round(coalesce(s, 0.0::DOUBLE), 6) AS log_score, CASE WHEN n > 0 THEN round(s / n, 9) END AS mean_log_score FROM n LEFT JOIN t USING (doc_id)""",
     "op3_exact_dedup": """
