@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from twinsift import config
 from twinsift.functions import images as I
-from twinsift.operators.manifest import Mover, auto_summary, move_plan
+from twinsift.operators.manifest import Mover, auto_failures, auto_summary, move_plan
 from twinsift.plans import pipeline, views
 from twinsift.sources import files
 
 
 def session():
-    return SparkSession.builder.appName("twinsift").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    return (
+        SparkSession.builder.appName("twinsift").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
+    )
 
 
 def scan(a):
@@ -31,10 +34,12 @@ def scan(a):
         print(r[0])
     if not a.auto:
         return 0
-    plan = move_plan(members, groups.select("group_id", F.col("suggested_idx").alias("pick")), cfg)
-    s = auto_summary(Mover(cfg.dry_run).auto(spark, plan)).first()
+    there = [(os.path.join(d, n),) for d, _, names in os.walk(cfg.dest_dir) for n in names]
+    plan = move_plan(members, groups.select("group_id", F.col("suggested_idx").alias("pick")), cfg, spark.createDataFrame(there, "path string"))
+    outcomes = Mover(cfg.dry_run).auto(spark, plan)
+    s = auto_summary(outcomes).first()
     print(f"confirmed={s['confirmed']} failed={s['failed']} moved={s['files_moved']} bytes={s['bytes_reclaimed']}")
-    for f in s["failures"]:
+    for f in auto_failures(outcomes).orderBy("group_id").toLocalIterator():
         print(f"  group {f['group_id'] + 1}: {f['error']} ({f['files_moved']} moved)")
     return int(s["failed"] > 0)
 
@@ -42,7 +47,7 @@ def scan(a):
 def compare(a):
     spark = session()
     pair = [os.path.abspath(p) for p in (a.a, a.b)]
-    rows = spark.read.format("image").load(pair).select(files.plain("image.origin").alias("path"), I.image_metrics().alias("m")).select("path", "m.*")
+    rows = spark.read.format("image").load(pair).select(files.decoded_uri("image.origin").alias("path"), I.image_metrics().alias("m")).select("path", "m.*")
     cells = [c for c in views.image_cells() if c[0] not in ("File size", "Quality score (higher better)")]
     for r in views.pairwise_report(rows, "path", *pair, cells).orderBy("row_no").collect():
         print(f"{r['label']:36s} {r['value_a'] or 'n/a':>18s} {r['value_b'] or 'n/a':>18s}")

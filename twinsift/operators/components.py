@@ -6,19 +6,22 @@ label once more, so paths halve.  Rounds are cut with checkpoint() and the loop
 no label changes.
 """
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark):
+    """Sets the checkpoint folder that the session names; a local session without one gets a
+    temporary folder, a cluster's doesn't, since its executors could not share it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        if named is None:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="checkpoint-")  # local sessions only
-        sc.setCheckpointDir(named)
+        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
 def connected_components(edges: DataFrame, src="src", dst="dst", max_rounds=60) -> DataFrame:

@@ -1,9 +1,9 @@
 """Groups from edges, and their members in order."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.operators.components import connected_components
+from twinsift.operators.components import connected_components, ensure_checkpoint_dir
 
 
 def members(items: DataFrame, edges: DataFrame, key="id", order=None) -> DataFrame:
@@ -17,25 +17,37 @@ def members(items: DataFrame, edges: DataFrame, key="id", order=None) -> DataFra
     rows = items.join(comps, items[key] == comps["node"]).select(items["*"], "component").withColumn("_order", order)
     firsts = rows.groupBy("component").agg(F.min("_order").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
     numbered = number(firsts.select("component", "_first"), "_first", "group_id")
-    inside = Window.partitionBy("component").orderBy("_order", key)
-    return rows.join(numbered.select("component", "group_id"), "component").withColumn("member_idx", (F.row_number().over(inside) - 1).cast("int")).drop("component", "_order")
+    rows = rows.join(numbered.select("component", "group_id"), "component").withColumn("_within", F.struct("_order", key))
+    return ranked(rows, "component", "_within", "member_idx").drop("component", "_order", "_within")
 
 
 def number(df: DataFrame, order: str, name: str) -> DataFrame:
-    """Consecutive numbers from 0 by a unique `order` column, without one task for all rows.
+    """Consecutive numbers from 0 (long) by a unique `order` column, without one task for all
+    rows.
 
-    Rows are range-partitioned and numbered inside their partition; the partitions' sizes
-    (one number each) become the offsets.
+    Rows are range-partitioned, sorted and settled with their place in their partition; the
+    partitions' sizes (one number each) become the offsets.
     """
     spark = df.sparkSession
-    parts = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).checkpoint()
-    sizes, offset, rows = sorted((r["_p"], r["count"]) for r in parts.groupBy("_p").count().collect()), 0, []
+    ensure_checkpoint_dir(spark)
+    # partition number above bit 33, place below
+    parts = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("_m", 33).cast("int")
+    sizes, offset, rows = sorted((r["_p"], r["count"]) for r in parts.groupBy(part.alias("_p")).count().collect()), 0, []
     for p, n in sizes:
         rows.append((p, offset))
         offset += n
     offsets = spark.createDataFrame(rows, "_p int, _offset long")
-    inside = Window.partitionBy("_p").orderBy(order)
-    return parts.join(F.broadcast(offsets), "_p").withColumn(name, (F.row_number().over(inside) - 1 + F.col("_offset")).cast("int")).drop("_p", "_offset")
+    place = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_offset")
+    return parts.withColumn("_p", part).join(F.broadcast(offsets), "_p").withColumn(name, place).drop("_p", "_offset", "_m")
+
+
+def ranked(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """Consecutive numbers from 0 inside each group by an `order` that is unique there; a group
+    that holds much of the input is spread over tasks like the rest."""
+    all_ = number(df.withColumn("_k", F.struct(group, order)), "_k", "_at").drop("_k")
+    first = all_.groupBy(F.col(group).alias("_g")).agg(F.min("_at").alias("_first"))
+    return all_.join(first, F.col(group).eqNullSafe(F.col("_g"))).withColumn(name, F.col("_at") - F.col("_first")).drop("_at", "_g", "_first")
 
 
 def surviving(member_rows: DataFrame, analysed: DataFrame, key="id", group="group_id") -> DataFrame:
@@ -48,5 +60,5 @@ def surviving(member_rows: DataFrame, analysed: DataFrame, key="id", group="grou
 def renumbered(member_rows: DataFrame, group="group_id", member="member_idx") -> DataFrame:
     """Groups and members numbered without gaps, in the order they have."""
     dense = number(member_rows.select(group).distinct(), group, "_g")
-    rows = member_rows.join(dense, group).withColumn(group, F.col("_g")).drop("_g")
-    return rows.withColumn(member, (F.row_number().over(Window.partitionBy(group).orderBy(member)) - 1).cast("int"))
+    rows = member_rows.join(dense, group).withColumn(group, F.col("_g")).drop("_g").withColumnRenamed(member, "_old")
+    return ranked(rows, group, "_old", member).drop("_old")

@@ -7,38 +7,102 @@ group may have several entries' moves.  Planning is pure; only Mover touches fil
 import os
 import shutil
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift import config
-from twinsift.functions.scalars import display_path, file_name, stem
+from twinsift.functions.scalars import display_path, stem
+from twinsift.operators.grouping import ranked
+
+
+DUP = r"(_dup\d+)+$"  # what planning adds to a stem, any number of times
 
 
 def destinations(rows: DataFrame, cfg: config.ScanConfig, existing: DataFrame | None = None, path="path", order=("path",)) -> DataFrame:
     """Adds to_path: below the destination, in the same relative folder if the scan is
     recursive; where a name is taken, `_dup1`, `_dup2`, ... goes after its stem.
 
-    Names are taken by `existing` paths and by rows of this plan that come before in `order`;
-    a dry run takes none.  The n-th row of a name gets the n-th free number.
+    Names are taken by `existing` paths and by rows of this plan that come before in `order`
+    (a dry run's rows take none).  Names meet only inside a family: one folder, one suffix, and
+    stems that differ by `_dup<n>` endings.  In a family without such stems and without existing
+    names the n-th row gets number n, by a distributed ranking; the others stream, sorted,
+    through `_free_names`, which holds the family's distinct names and existing ones.
     """
+    kept = rows.columns
     rel = display_path(path, cfg.directory, cfg.recursive)
     out = rows.withColumn("_rel", rel).withColumn("_parent", F.regexp_replace("_rel", r"[^/]*$", "")).withColumn("_stem", stem("_rel"))
     out = out.withColumn("_suffix", F.expr("substring(_rel, length(_parent) + length(_stem) + 1)"))
-    rank = F.lit(0) if cfg.dry_run else F.row_number().over(Window.partitionBy("_rel").orderBy(*order)) - 1
-    out = out.withColumn("_n", rank)
+    out = out.withColumn("_family", F.concat("_parent", F.regexp_replace("_stem", DUP, ""), "_suffix")).withColumn("_order", F.struct(*order, path))
+    odd = out.filter(F.col("_stem").rlike(DUP)).select("_family")
+    taken = None
     if existing is not None:
-        taken = existing.select(F.expr(f"substring(path, {len(cfg.dest_dir) + 2})").alias("_name")).filter(F.col("_name") != "")
-        # number of a name under its base: 0 for the base, n for base_dup<n>
-        numbered = taken.select(F.col("_name").alias("_base"), F.lit(0).alias("_k")).unionByName(
-            taken.filter(F.col("_name").rlike(r"_dup\d+(\.[^./]+)?$")).select(
-                F.regexp_replace("_name", r"_dup\d+(\.[^./]+)?$", "$1").alias("_base"), F.regexp_extract("_name", r"_dup(\d+)(\.[^./]+)?$", 1).cast("int").alias("_k")
-            )
-        )
-        slots = numbered.groupBy("_base").agg(F.array_sort(F.collect_set("_k")).alias("_taken"))
-        out = out.join(slots, F.col("_rel") == F.col("_base"), "left")
-        out = out.withColumn("_n", F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), F.col("_n"), lambda n, k: n + (k <= n).cast("int")))
-    name = F.when(F.col("_n") == 0, F.col("_rel")).otherwise(F.concat("_parent", "_stem", F.lit("_dup"), F.col("_n").cast("string"), "_suffix"))
-    return out.withColumn("to_path", F.concat(F.lit(f"{cfg.dest_dir}/"), name)).select(*rows.columns, "to_path")
+        name = existing.filter(F.col("path").startswith(f"{cfg.dest_dir}/")).select(F.expr(f"substring(path, {len(cfg.dest_dir) + 2})").alias("_rel"))
+        name = name.withColumn("_parent", F.regexp_replace("_rel", r"[^/]*$", "")).withColumn("_stem", stem("_rel"))
+        family = F.concat("_parent", F.regexp_replace("_stem", DUP, ""), F.expr("substring(_rel, length(_parent) + length(_stem) + 1)"))
+        taken = name.select(family.alias("_family"), "_rel").join(out.select("_family"), "_family", "left_semi")
+        odd = odd.unionByName(taken.select("_family"))
+    odd = odd.distinct()
+    if odd.isEmpty():
+        plain = out.withColumn("_name", F.col("_rel")) if cfg.dry_run else _numbered(out)
+        return plain.select(*kept, F.concat(F.lit(f"{cfg.dest_dir}/"), "_name").alias("to_path"))
+    plain = out.join(odd, "_family", "left_anti")
+    plain = plain.withColumn("_name", F.col("_rel")) if cfg.dry_run else _numbered(plain)
+    hard = out.join(odd, "_family", "left_semi").select("_family", "_order", "_rel", "_parent", "_stem", "_suffix", F.struct(*kept).alias("_row"))
+    if taken is not None:
+        gone = [F.lit(None).cast(hard.schema[c].dataType).alias(c) for c in ("_order",)]
+        gone_row = F.lit(None).cast(hard.schema["_row"].dataType).alias("_row")
+        hard = hard.unionByName(taken.distinct().select("_family", *gone, "_rel", *[F.lit(None).cast("string").alias(c) for c in ("_parent", "_stem", "_suffix")], gone_row))
+    hard = hard.repartition("_family").sortWithinPartitions("_family", F.asc_nulls_first("_order"), "_rel").drop("_order")
+    named = hard.mapInArrow(_free_names(cfg.dry_run), hard.schema.simpleString().removeprefix("struct<").removesuffix(">") + ",_name string")
+    named = named.filter("_name is not null").select("_row.*", "_name")
+    return plain.select(*kept, "_name").unionByName(named).select(*kept, F.concat(F.lit(f"{cfg.dest_dir}/"), "_name").alias("to_path"))
+
+
+def _numbered(out):
+    n = F.col("_n")
+    out = ranked(out, "_rel", "_order", "_n")
+    return out.withColumn("_name", F.when(n == 0, F.col("_rel")).otherwise(F.concat("_parent", "_stem", F.lit("_dup"), n.cast("string"), "_suffix")))
+
+
+def _free_names(dry_run):
+    """Names of the rows of sorted families: existing names come first in each and have no row."""
+
+    def run(batches):
+        now, fixed, own, following = None, set(), set(), {}
+        for b in batches:
+            names = []
+            for family, rel, parent, root, suffix, row in zip(*(b[c] for c in ("_family", "_rel", "_parent", "_stem", "_suffix", "_row"))):
+                family, rel = family.as_py(), rel.as_py()
+                if family != now:
+                    now, fixed, own, following = family, set(), set(), {}
+                if not row.is_valid:
+                    fixed.add(rel)
+                    names.append(None)
+                    continue
+                parent, root, suffix = parent.as_py(), root.as_py(), suffix.as_py()
+
+                def gone(stem_):
+                    at = f"{parent}{stem_}{suffix}"
+                    base, dup, k = stem_.rpartition("_dup")
+                    # a number below a stem's next one was given out or passed over as taken
+                    return at in fixed or at in own or (dup and k.isdigit() and str(int(k)) == k and 0 < int(k) < following.get(base, 1))
+
+                if not gone(root):
+                    name = root
+                    if not dry_run:
+                        own.add(rel)
+                else:
+                    k = following.get(root, 1)
+                    while gone(f"{root}_dup{k}"):
+                        k += 1
+                    name = f"{root}_dup{k}"
+                    if not dry_run:
+                        following[root] = k + 1
+                names.append(f"{parent}{name}{suffix}")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string())], [*b.schema.names, "_name"])
+
+    return run
 
 
 def move_plan(members: DataFrame, picks: DataFrame, cfg: config.ScanConfig, existing=None) -> DataFrame:
@@ -77,17 +141,35 @@ def needs_reapply(groups: DataFrame, entries: DataFrame) -> DataFrame:
 
 def auto_summary(outcomes: DataFrame) -> DataFrame:
     """One row over (group_id, error, files_moved, bytes_moved, dry_run): a partly moved
-    group's files count; bytes count for groups that succeeded and aren't a dry run."""
+    group's files count; bytes count for groups that succeeded and aren't a dry run.  The
+    failures themselves are `auto_failures`."""
     ok = F.col("error").isNull()
     return outcomes.agg(
         F.count_if(ok).alias("confirmed"), F.count_if(~ok).alias("failed"), F.coalesce(F.sum("files_moved"), F.lit(0)).cast("long").alias("files_moved"),
         F.coalesce(F.sum(F.when(ok & ~F.col("dry_run"), F.col("bytes_moved"))), F.lit(0)).cast("long").alias("bytes_reclaimed"),
-        F.array_sort(F.collect_list(F.when(~ok, F.struct("group_id", "error", "files_moved", "bytes_moved")))).alias("failures"),
     )
 
 
+def auto_failures(outcomes: DataFrame) -> DataFrame:
+    """The groups that failed, with what was moved of them."""
+    return outcomes.filter(F.col("error").isNotNull()).select("group_id", "error", "files_moved", "bytes_moved")
+
+
+def free_path(path):
+    """The path, or its first `_dup<n>` form at which nothing is, not even a dangling link."""
+    head, tail = os.path.splitext(path)
+    out, n = path, 1
+    while os.path.lexists(out):
+        out, n = f"{head}_dup{n}{tail}", n + 1
+    return out
+
+
 class Mover:
-    """Moves files on the driver, a group at a time; the record is right after any failure."""
+    """Moves files on the driver, a group at a time; the record is right after any failure.
+
+    Plans know a listing; the disk may have changed since, so each target is looked at again
+    and a taken one is never overwritten: the next free number is used and recorded.
+    """
 
     def __init__(self, dry_run=False, move=shutil.move):
         self.dry_run, self.move, self.entries = dry_run, move, []
@@ -99,6 +181,7 @@ class Mover:
             for a, b in moves:
                 if not self.dry_run:
                     os.makedirs(os.path.dirname(b), exist_ok=True)
+                    b = free_path(b)
                     self.move(a, b)
                 done.append((a, b))
         finally:
@@ -146,4 +229,4 @@ class Mover:
                 now, rows = r["group_id"], []
             rows.append(r)
         close()
-        return spark.createDataFrame(out, "group_id int, error string, files_moved int, bytes_moved long, dry_run boolean")
+        return spark.createDataFrame(out, "group_id long, error string, files_moved int, bytes_moved long, dry_run boolean")

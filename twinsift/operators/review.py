@@ -1,6 +1,6 @@
 """The review state machine over groups, as a relation and as a driver-side session."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift import config
@@ -11,11 +11,11 @@ def replay(actions: DataFrame, group="group_id", order="seq", action="action", v
 
     confirm gives confirmed; skip gives skipped, and pending if it was skipped; pick only
     sets the pick.  What matters is the last confirm and the parity of skips after it, so
-    the log isn't walked: one window and one aggregate.
+    the log isn't walked: two grouped aggregates, combined on the map side, so a group with
+    much of the log is no single task.
     """
-    w = Window.partitionBy(group)
-    last = F.max(F.when(F.col(action) == "confirm", F.col(order))).over(w)
-    log = actions.withColumn("_last", last)
+    last = actions.filter(F.col(action) == "confirm").groupBy(F.col(group).alias("_g")).agg(F.max(order).alias("_last"))
+    log = actions.join(last, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
     after = F.count_if((F.col(action) == "skip") & (F.col("_last").isNull() | (F.col(order) > F.col("_last"))))
     out = log.groupBy(group).agg(after.alias("_skips"), F.max("_last").alias("_last"), F.max_by(value, F.when(F.col(action) == "pick", F.col(order))).alias("pick"), F.count("*").alias("actions"))
     status = F.when(F.col("_skips") % 2 == 1, "skipped").when(F.col("_skips") > 0, "pending").when(F.col("_last").isNotNull(), "confirmed").otherwise("pending")

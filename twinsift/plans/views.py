@@ -19,7 +19,7 @@ METRIC_ROWS = (
     ("NIQE (lower better)", "niqe", "metric"),
     ("Quality score (higher better)", None, "score"),
 )
-# Marks of the states.
+# Marks of the states, and below the words of labels and texts.
 MARKS = {"pending": "◻", "confirmed": "✔", "skipped": "—"}
 
 
@@ -78,13 +78,39 @@ def group_label(number, files, status, close, pick) -> Column:
     )
 
 
-def pending_text(files, pick, pick_name, suggested, suggested_name) -> Column:
-    """What confirming would do, and where the pick differs from the suggestion."""
+def pending_lines(files, pick, pick_name, suggested, suggested_name):
+    """(what confirming would do, where the pick differs from the suggestion)."""
     s = lambda c: (col(c) + 1).cast("string")
     n = col(files) - 1
     act = F.concat(F.lit("keep ["), s(pick), F.lit("] "), col(pick_name), F.when(n > 0, F.concat(F.lit(", move "), n.cast("string"), F.lit(" other file"), F.when(n != 1, "s").otherwise(""))).otherwise(""))
     differs = F.concat(F.lit("your pick ["), s(pick), F.lit("]  ·  ★ suggested ["), s(suggested), F.lit("] "), col(suggested_name))
-    return F.concat(act, F.lit("\n"), F.when(col(pick) != col(suggested), differs).otherwise(""))
+    return act, F.when(col(pick) != col(suggested), differs).otherwise("")
+
+
+def pending_text(*columns) -> Column:
+    act, differs = pending_lines(*columns)
+    return F.concat(act, F.lit("\n"), differs)
+
+
+def status_text(groups: DataFrame, group="group_id", dry_run=False) -> DataFrame:
+    """Per group what is shown while it is looked at: counts of all groups, what confirming
+    would do or what was done, and where the pick differs from the suggestion.
+
+    groups: group, status, members, pick, pick_name, suggested, suggested_name, needs_reapply.
+    """
+    # The words of the status line.
+    counts = status_counts(groups)
+    n = lambda c: F.col(f"_c.{c}").cast("string")
+    head = F.concat(F.lit("Groups: "), n("total"), F.lit("  confirmed="), n("confirmed"), F.lit("  skipped="), n("skipped"), F.lit("  pending="), n("pending"), F.lit("  [DRY RUN]" if dry_run else ""))
+    act, differs = pending_lines("members", "pick", "pick_name", "suggested", "suggested_name")
+    again = (F.col("status") == "confirmed") & F.col("needs_reapply")
+    said = (
+        F.when(F.col("status") == "pending", F.concat(act, F.lit("\n"), differs))
+        .when(again, F.concat(F.lit("change "), act, F.lit("  (press c/Enter to confirm)\n"), differs))
+        .otherwise(F.concat(F.lit("already "), "status", F.lit("\n")))
+    )
+    one = F.broadcast(counts.select(F.struct("*").alias("_c")))  # a single row
+    return groups.join(one).select(group, F.concat(head, F.lit("\n"), said).alias("status_text"))
 
 
 def status_counts(groups: DataFrame) -> DataFrame:
@@ -94,10 +120,10 @@ def status_counts(groups: DataFrame) -> DataFrame:
 
 def metrics_info(spark, metrics) -> DataFrame:
     """Weights by influence: position, name, weight, direction words."""
-    rows = [(k, float(v[0]), i, v[2]) for i, (k, v) in enumerate(metrics.items())]
-    df = spark.createDataFrame(rows, "name string, weight double, pos int, description string")
+    order = sorted(metrics, key=lambda k: -abs(metrics[k][0]))
+    rows = [(i + 1, k, float(metrics[k][0]), metrics[k][2]) for i, k in enumerate(order)]
     words = F.when(F.col("weight") > 0, "higher better").otherwise("lower better")
-    return df.orderBy(F.desc(F.abs("weight")), "pos").select("name", "weight", words.alias("reading"), "description")
+    return spark.createDataFrame(rows, "place int, name string, weight double, description string").withColumn("reading", words)
 
 
 def pairwise_report(df: DataFrame, key, a, b, cells) -> DataFrame:

@@ -35,8 +35,8 @@ def table(spark, sf_dir, name):
 
 P = """p AS (SELECT min(page_id) AS page_id, path, max(size)::BIGINT AS size, split_part(path, '/', 3) AS host FROM (
     SELECT page_id, '/archive' || regexp_replace(regexp_replace(regexp_replace(url, '^https?://', '/'), '[?#].*$', ''), '/+$', '') AS path, length(html) AS size FROM pages) GROUP BY path)"""
-M = P + """, m AS (SELECT *, (dense_rank() OVER (ORDER BY host) - 1)::INTEGER AS group_id,
-    (row_number() OVER (PARTITION BY host ORDER BY string_split(path, '/'), page_id) - 1)::INTEGER AS member_idx, (count(*) OVER (PARTITION BY host))::INTEGER AS n FROM p),
+M = P + """, m AS (SELECT *, dense_rank() OVER (ORDER BY host) - 1 AS group_id,
+    row_number() OVER (PARTITION BY host ORDER BY string_split(path, '/'), page_id) - 1 AS member_idx, count(*) OVER (PARTITION BY host) AS n FROM p),
     k AS (SELECT *, CASE WHEN group_id % 2 = 0 THEN 0 ELSE n - 1 END AS pick FROM m)"""
 
 
@@ -49,9 +49,8 @@ def paths(spark, sf_dir):
 def page_members(spark, sf_dir):
     """Groups are hosts; the pick is the first member, or the last in odd groups."""
     p = paths(spark, sf_dir)
-    hosts = grouping.number(p.groupBy("host").agg(F.count("*").cast("int").alias("n")), "host", "group_id")
-    order = Window.partitionBy("host").orderBy(files.path_key("path"), "page_id")
-    m = p.join(hosts, "host").withColumn("member_idx", (F.row_number().over(order) - 1).cast("int"))
+    hosts = grouping.number(p.groupBy("host").agg(F.count("*").alias("n")), "host", "group_id")
+    m = grouping.ranked(p.join(hosts, "host").withColumn("k", F.struct(files.path_key("path"), "page_id")), "host", "k", "member_idx").drop("k")
     return m.withColumn("pick", F.when(F.col("group_id") % 2 == 0, 0).otherwise(F.col("n") - 1))
 
 
@@ -59,15 +58,11 @@ def picks(m):
     return m.groupBy("group_id").agg(F.max("pick").alias("pick"))
 
 
-@query(f"WITH {P} SELECT path FROM p WHERE starts_with(path, '/archive/' || 'm.ththth.example.net' || '/') AND NOT contains(substr(path, length('/archive/m.ththth.example.net/') + 1), '/') AND regexp_matches(lower(path), '\\.html$') UNION ALL SELECT path FROM p WHERE regexp_matches(path, '^/archive/blog[^/]*/en/[^/]+\\.html$')")
+@query(f"WITH {P} SELECT path FROM p WHERE regexp_matches(lower(path), '^/archive/[^/]+/[^/]+\\.html$')")
 def scan_flat(spark, sf_dir):
-    p = paths(spark, sf_dir).select("path", "host")
-    direct = files.select_files(p, f"{ROOT}/m.ththth.example.net", suffixes=(".html",)).select("path")
-    blogs = p.filter(F.col("host").startswith("blog") & files.has_suffix("path", (".html",)))
-    # each host's /en folder, flat: the same test with the folder taken from the row
-    folder = F.concat(F.lit(f"{ROOT}/"), F.col("host"), F.lit("/en/"))
-    inside = F.col("path").startswith(folder) & (F.instr(F.expr(f"substring(path, length(host) + {len(ROOT) + 6})"), "/") == 0)
-    return direct.unionByName(blogs.filter(inside).select("path"))
+    """A flat scan of every host's folder; the folder is taken from the row."""
+    p = paths(spark, sf_dir).select("path", F.concat(F.lit(f"{ROOT}/"), "host").alias("folder"))
+    return files.select_files(p, F.col("folder"), suffixes=(".html",)).select("path")
 
 
 @query(f"WITH {P} SELECT path FROM p WHERE regexp_matches(lower(path), '[^/]\\.html$') AND NOT starts_with(path, '/archive/blog.therti.example.org/')")
@@ -89,7 +84,7 @@ def exclude_prefix(spark, sf_dir):
     return p.filter(~F.col("host").startswith("www") | outside).select("path")
 
 
-@query(f"WITH {P} SELECT path, (row_number() OVER (ORDER BY string_split(path, '/')) - 1)::INTEGER AS place FROM p")
+@query(f"WITH {P} SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) - 1 AS place FROM p")
 def path_order(spark, sf_dir):
     return grouping.number(paths(spark, sf_dir).select("path", files.path_key("path").alias("k")), "k", "place").select("path", "place")
 
@@ -156,7 +151,7 @@ PAIRS = FP + """, e AS (SELECT a.doc_id AS src, b.doc_id AS dst, bit_count(xor(a
 COMPS = PAIRS + """, u AS (SELECT src AS a, dst AS b FROM e UNION ALL SELECT dst, src FROM e),
     walk AS (SELECT a AS node, a AS seen FROM u UNION SELECT walk.node, u.b FROM walk JOIN u ON walk.seen = u.a),
     g AS (SELECT node, min(seen) AS component FROM walk GROUP BY node),
-    gi AS (SELECT node AS doc_id, (dense_rank() OVER (ORDER BY component) - 1)::INTEGER AS group_id, (row_number() OVER (PARTITION BY component ORDER BY node) - 1)::INTEGER AS member_idx FROM g)"""
+    gi AS (SELECT node AS doc_id, dense_rank() OVER (ORDER BY component) - 1 AS group_id, row_number() OVER (PARTITION BY component ORDER BY node) - 1 AS member_idx FROM g)"""
 
 
 def text_fps(spark, sf_dir):
@@ -246,10 +241,9 @@ def scored_lines(spark, sf_dir):
     return scoring.score(lines(spark, sf_dir), "l_orderkey", LINE_WEIGHTS)
 
 
-@query("SELECT l_orderkey, min(l_quantity) AS quantity_lo, max(l_quantity) AS quantity_hi, min(l_discount) AS discount_lo, max(l_discount) AS discount_hi FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey, " + ", ".join(f"min({m}) AS {m}_lo, max({m}) AS {m}_hi, count({m}) = count(*) AS {m}_ok" for m in LINE_WEIGHTS) + " FROM lineitem GROUP BY l_orderkey")
 def group_ranges(spark, sf_dir):
-    r = scoring.ranges(table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_quantity", "l_discount"])
-    return r.select("l_orderkey", F.col("l_quantity_lo").alias("quantity_lo"), F.col("l_quantity_hi").alias("quantity_hi"), F.col("l_discount_lo").alias("discount_lo"), F.col("l_discount_hi").alias("discount_hi"))
+    return scoring.ranges(table(spark, sf_dir, "lineitem"), "l_orderkey", list(LINE_WEIGHTS))
 
 
 @query(f"WITH {LINES} SELECT l_orderkey, member_idx, round(score, 6) AS quality_score FROM s")
@@ -319,9 +313,7 @@ INFO = "(VALUES " + ", ".join(f"('{k}', {w}::DOUBLE, {i})" for i, (k, (w, _, _))
 
 @query(f"SELECT name, weight, CASE WHEN weight > 0 THEN 'higher better' ELSE 'lower better' END AS reading, (row_number() OVER (ORDER BY -abs(weight), pos))::INTEGER AS place FROM {INFO}")
 def metrics_info(spark, sf_dir):
-    info = views.metrics_info(spark, config.IMAGE_METRICS).select("name", "weight", "reading").toPandas()  # a fixed, tiny list
-    info["place"] = range(1, len(info) + 1)
-    return spark.createDataFrame(info, "name string, weight double, reading string, place int")
+    return views.metrics_info(spark, config.IMAGE_METRICS).select("name", "weight", "reading", "place")
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{label}', {1 if kind == 'score' else 0 if key is None else 1 if config.IMAGE_WEIGHTS[key] > 0 else -1}::INTEGER)" for label, key, kind in views.METRIC_ROWS) + ") t(label, direction)")
@@ -397,8 +389,9 @@ def pick_relative(spark, sf_dir):
 
 @query("WITH t AS (SELECT event_type, (row_number() OVER (PARTITION BY event_type ORDER BY event_id))::BIGINT AS done, count(*) OVER (PARTITION BY event_type) AS total FROM events) SELECT * FROM t WHERE done % 100 = 0 OR done = total")
 def progress_ticks(spark, sf_dir):
-    w = Window.partitionBy("event_type")
-    e = table(spark, sf_dir, "events").select("event_type", F.row_number().over(w.orderBy("event_id")).cast("long").alias("done"), F.count("*").over(w).alias("total"))
+    e = grouping.ranked(table(spark, sf_dir, "events").select("event_type", "event_id"), "event_type", "event_id", "at")
+    total = e.groupBy("event_type").agg(F.count("*").alias("total"))
+    e = e.join(total, "event_type").select("event_type", (F.col("at") + 1).alias("done"), "total")
     return views.progress_ticks(e, "done", "total")
 
 
@@ -421,11 +414,18 @@ def group_label(spark, sf_dir):
     return page_groups(spark, sf_dir).select("group_id", views.group_label("group_id", "members", "status", "close", "pick").alias("label"))
 
 
-@query(f"WITH {GROUPS}, a AS (SELECT group_id, max(path) FILTER (member_idx = pick) AS pp, max(path) FILTER (member_idx = 0) AS sp FROM k GROUP BY group_id) SELECT group_id, 'keep [' || (pick + 1) || '] ' || pp || CASE WHEN members > 1 THEN ', move ' || (members - 1) || ' other file' || CASE WHEN members <> 2 THEN 's' ELSE '' END ELSE '' END || chr(10) || CASE WHEN pick <> 0 THEN 'your pick [' || (pick + 1) || ']  ·  ★ suggested [1] ' || sp ELSE '' END AS status_text FROM gr JOIN a USING (group_id)")
+@query(f"""WITH {GROUPS}, a AS (SELECT group_id, max(path) FILTER (member_idx = pick) AS pp, max(path) FILTER (member_idx = 0) AS sp FROM k GROUP BY group_id),
+    c AS (SELECT 'Groups: ' || count(*) || '  confirmed=' || count(*) FILTER (status = 'confirmed') || '  skipped=' || count(*) FILTER (status = 'skipped') || '  pending=' || count(*) FILTER (status = 'pending') AS head FROM gr),
+    t AS (SELECT group_id, status, head, 'keep [' || (pick + 1) || '] ' || pp || CASE WHEN members > 1 THEN ', move ' || (members - 1) || ' other file' || CASE WHEN members <> 2 THEN 's' ELSE '' END ELSE '' END AS act,
+        CASE WHEN pick <> 0 THEN 'your pick [' || (pick + 1) || ']  ·  ★ suggested [1] ' || sp ELSE '' END AS differs FROM gr JOIN a USING (group_id), c)
+    SELECT group_id, head || chr(10) || CASE WHEN status = 'pending' THEN act || chr(10) || differs
+        WHEN status = 'confirmed' AND group_id % 2 = 1 THEN 'change ' || act || '  (press c/Enter to confirm)' || chr(10) || differs ELSE 'already ' || status || chr(10) END AS status_text FROM t""")
 def status_text(spark, sf_dir):
     m = page_members(spark, sf_dir)
-    g = m.groupBy("group_id").agg(F.max("n").alias("members"), F.max("pick").alias("pick"), F.max(F.when(F.col("member_idx") == F.col("pick"), F.col("path"))).alias("pp"), F.max(F.when(F.col("member_idx") == 0, F.col("path"))).alias("sp")).withColumn("suggested", F.lit(0))
-    return g.select("group_id", views.pending_text("members", "pick", "pp", "suggested", "sp").alias("status_text"))
+    path_of = lambda i: F.max(F.when(F.col("member_idx") == i, F.col("path")))
+    names = m.groupBy("group_id").agg(path_of(F.col("pick")).alias("pick_name"), path_of(F.lit(0)).alias("suggested_name"))
+    g = page_groups(spark, sf_dir).join(names, "group_id").withColumn("suggested", F.lit(0)).withColumn("needs_reapply", F.col("group_id") % 2 == 1)
+    return views.status_text(g)
 
 
 # ---- manifest -----------------------------------------------------------------------------
@@ -463,8 +463,8 @@ def bytes_reclaimed(spark, sf_dir):
 
 @query(f"WITH {MOVES}, t AS (SELECT group_id, count(*) AS c FROM mv GROUP BY group_id) SELECT coalesce(sum(c), 0)::BIGINT AS moved_total FROM t")
 def moved_total(spark, sf_dir):
-    entries = page_moves(spark, sf_dir).groupBy("group_id").agg(F.collect_list(F.struct("from_path", "to_path")).alias("moved"))
-    return entries.agg(F.coalesce(F.sum(F.size("moved")), F.lit(0)).cast("long").alias("moved_total"))
+    entries = page_moves(spark, sf_dir).groupBy("group_id").agg(F.count("*").alias("moved"))
+    return entries.agg(F.coalesce(F.sum("moved"), F.lit(0)).cast("long").alias("moved_total"))
 
 
 @query(f"WITH {MOVES} SELECT * FROM mv WHERE group_id % 3 <> 1")
@@ -489,11 +489,10 @@ def needs_reapply(spark, sf_dir):
     return manifest.needs_reapply(groups, entries)
 
 
-@query(f"WITH {MOVES}, t AS (SELECT group_id, count(*) AS f, sum(size) AS b, group_id % 7 = 3 AS bad FROM mv GROUP BY group_id) SELECT count(*) FILTER (NOT bad) AS confirmed, count(*) FILTER (bad) AS failed, coalesce(sum(f), 0)::BIGINT AS files_moved, coalesce(sum(b) FILTER (NOT bad), 0)::BIGINT AS bytes_reclaimed, (count(*) FILTER (bad))::INTEGER AS failures FROM t")
+@query(f"WITH {MOVES}, t AS (SELECT group_id, count(*) AS f, sum(size) AS b, group_id % 7 = 3 AS bad FROM mv GROUP BY group_id) SELECT count(*) FILTER (NOT bad) AS confirmed, count(*) FILTER (bad) AS failed, coalesce(sum(f), 0)::BIGINT AS files_moved, coalesce(sum(b) FILTER (NOT bad), 0)::BIGINT AS bytes_reclaimed FROM t")
 def auto_summary(spark, sf_dir):
     t = page_moves(spark, sf_dir).groupBy("group_id").agg(F.count("*").alias("files_moved"), F.sum("size").alias("bytes_moved"))
-    out = manifest.auto_summary(t.withColumn("error", F.when(F.col("group_id") % 7 == 3, "disk full")).withColumn("dry_run", F.lit(False)))
-    return out.withColumn("failures", F.size("failures"))
+    return manifest.auto_summary(t.withColumn("error", F.when(F.col("group_id") % 7 == 3, "disk full")).withColumn("dry_run", F.lit(False)))
 
 
 # ---- flagship -----------------------------------------------------------------------------
