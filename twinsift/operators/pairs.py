@@ -1,13 +1,20 @@
 """Similarity join on fingerprints: pairs within a Hamming distance.
 
-Equal fingerprints are collapsed first, so copies cost one row and link by a chain.  The
-distinct ones meet by bands: of `bands` equal parts of the bits at least one differs in no
-more than threshold // bands bits, so one side sends each part and the other all parts
-within that radius; the exact distance is tested after.  Up to `few` distinct fingerprints
-(a checked size) every pair is tested against a broadcast instead.
+Equal fingerprints are collapsed first, so copies cost one row in the join.  The distinct ones
+meet by keys that any pair within the distance shares, and the exact distance is tested after.
+Two kinds of keys, of which `plan` takes the one that costs least for the number of rows:
+
+* bands with probes: of b parts of the bits at least one differs in threshold // b bits or
+  fewer, so one side sends each part and the other all values within that radius (a bit less
+  in the last bands, by the remainder);
+* combinations: of m > threshold parts at least m - threshold are equal, so both sides send
+  the values of every combination of so many parts as one long key.
+
+Up to `few` distinct fingerprints (a checked size) every pair is tested against a broadcast.
 """
 
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +32,10 @@ def settled(fps: DataFrame, key, fp) -> DataFrame:
 
 
 def brute_pairs(fps: DataFrame, threshold, key="id", fp="fp") -> DataFrame:
-    """All pairs src < dst within the threshold, by testing each; for small inputs."""
+    """All pairs src < dst within the threshold, by testing each; for at most FEW rows."""
     a = fps.filter(F.col(fp).isNotNull()).select(F.col(key).alias("src"), F.col(fp).alias("a"))
+    if a.limit(FEW + 1).count() > FEW:
+        raise ValueError(f"more than {FEW} fingerprints; use banded_pairs")
     b = F.broadcast(a.select(F.col("src").alias("dst"), F.col("a").alias("b")))
     return a.join(b, (F.col("src") < F.col("dst")) & (hamming("a", "b") <= threshold)).select("src", "dst", hamming("a", "b").alias("distance"))
 
@@ -36,23 +45,82 @@ def masks(width, radius):
     return [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(width), r)]
 
 
-def banded_pairs(fps: DataFrame, threshold, key="id", fp="fp", bits=64, bands=4) -> DataFrame:
-    """The same pairs as brute_pairs, by equi-joins on bands."""
-    width = -(-bits // bands)
-    part = lambda b: F.shiftrightunsigned(F.col("v"), b * width).bitwiseAND((1 << width) - 1)
-    rows = fps.filter(F.col(fp).isNotNull()).select(F.col(key).alias("i"), F.col(fp).alias("v"))
-    banded = rows.select("i", "v", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), part(b).alias("part")) for b in range(bands)])).alias("p")).select("i", "v", "p.band", "p.part")
-    near = [F.lit(m).cast("long") for m in masks(width, threshold // bands)]  # pigeonhole
-    probes = banded.select(F.col("i").alias("j"), F.col("v").alias("u"), "band", F.explode(F.transform(F.array(*near), lambda m: m.bitwiseXOR(F.col("part")))).alias("part"))
-    met = banded.join(probes, ["band", "part"]).filter((F.col("i") < F.col("j")) & (hamming("v", "u") <= threshold))
-    return met.select(F.col("i").alias("src"), F.col("j").alias("dst"), hamming("v", "u").alias("distance")).distinct()
+def parts(bits, n):
+    """n runs (first bit, width) that cover the bits."""
+    edge = [bits * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(edge, edge[1:])]
+
+
+def plan(n, threshold, bits, most_keys=2048):
+    """(kind, parts, number): the keys that cost least for n rows, as rows sent and pairs met."""
+    options = []
+    for b in range(1, min(threshold + 1, 16) + 1):
+        q, rest = divmod(threshold, b)
+        sent = met = 0
+        for i, (_, w) in enumerate(parts(bits, b)):
+            r = q if i <= rest else q - 1
+            probes = sum(comb(w, k) for k in range(r + 1)) if r >= 0 else 0
+            sent, met = sent + probes, met + probes / 2**w
+        if sent <= most_keys:
+            options.append((n * (sent + b) + n * n * met, "bands", b))
+    for m in range(threshold + 1, min(threshold + 9, bits) + 1):
+        c = m - threshold
+        if comb(m, c) <= most_keys:
+            sent = comb(m, c)
+            options.append((2 * n * sent + n * n * sent / 2 ** (bits * c // m), "combinations", m))
+    return min(options)[1:]
+
+
+def _keys(v, threshold, bits, kind, n):
+    """(arrays of struct<k, v> that the one side sends, and the other)."""
+    def value(a, w):
+        return F.shiftrightunsigned(v, a).bitwiseAND(F.lit((1 << w) - 1).cast("long") if w < 64 else F.lit(-1).cast("long"))
+
+    one = lambda k, x: F.struct(F.lit(k).alias("k"), x.cast("long").alias("v"))
+    if kind == "bands":
+        q, rest = divmod(threshold, n)
+        radius = [q if i <= rest else q - 1 for i in range(n)]
+        own = F.array(*[one(i, value(*p)) for i, p in enumerate(parts(bits, n)) if radius[i] >= 0])
+
+        def probes(i, p):
+            near = F.array(*[F.lit(m).cast("long") for m in masks(p[1], radius[i])])
+            return F.transform(near, lambda m: F.struct(F.lit(i).alias("k"), m.bitwiseXOR(value(*p)).alias("v")))
+
+        return own, F.concat(*[probes(i, p) for i, p in enumerate(parts(bits, n)) if radius[i] >= 0])
+    picked = []
+    for k, c in enumerate(combinations(parts(bits, n), n - threshold)):
+        mask = sum(((1 << w) - 1) << a for a, w in c)
+        picked.append(one(k, v.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long"))))
+    return F.array(*picked), F.array(*picked)
+
+
+def banded_join(left: DataFrame, right: DataFrame, threshold, bits=64, keys=None) -> DataFrame:
+    """Rows a, b, distance of distinct fingerprints a of `left` and b of `right` (columns fp)
+    within the threshold, each once; equal ones too."""
+    kind, n = keys or plan(max(right.count(), 1), threshold, bits)
+    a, b = left.select(F.col("fp").alias("a")).distinct(), right.select(F.col("fp").alias("b")).distinct()
+    own, _ = _keys(F.col("b"), threshold, bits, kind, n)
+    _, near = _keys(F.col("a"), threshold, bits, kind, n)
+    met = a.select("a", F.explode(near).alias("key")).join(b.select("b", F.explode(own).alias("key")), "key")
+    return met.filter(hamming("a", "b") <= threshold).select("a", "b", hamming("a", "b").alias("distance")).distinct()
+
+
+def banded_pairs(fps: DataFrame, threshold, key="id", fp="fp", bits=64, keys=None) -> DataFrame:
+    """The same pairs as brute_pairs, by equi-joins; copies join by their fingerprint."""
+    rows = settled(fps, key, fp).select(F.col(key).alias("i"), F.col(fp).alias("fp"))
+    heads = rows.select("fp").distinct().checkpoint()
+    near = banded_join(heads, heads, threshold, bits, keys).filter("a < b")
+    src, dst = rows.select(F.col("i").alias("x"), F.col("fp").alias("a")), rows.select(F.col("i").alias("y"), F.col("fp").alias("b"))
+    met = near.join(src, "a").join(dst, "b").select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), "distance")
+    same = src.join(dst, (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select(F.col("x").alias("src"), F.col("y").alias("dst"), F.lit(0).cast("long").alias("distance"))
+    return met.unionByName(same)
 
 
 def all_pairs(fps: DataFrame, threshold, key="id", fp="fp", bits=64, few=FEW) -> DataFrame:
     """Pairs by whichever join suits the checked number of fingerprints and the threshold."""
     fps = settled(fps, key, fp)
     small = fps.limit(few + 1).count() <= few
-    return brute_pairs(fps, threshold, key, fp) if small else banded_pairs(fps, threshold, key, fp, bits, bands=4 if threshold < 16 else 8)
+    return brute_pairs(fps, threshold, key, fp) if small else banded_pairs(fps, threshold, key, fp, bits)
 
 
 def linking_edges(fps: DataFrame, threshold, key="id", fp="fp", bits=64, few=FEW) -> DataFrame:
@@ -68,6 +136,9 @@ def linking_edges(fps: DataFrame, threshold, key="id", fp="fp", bits=64, few=FEW
     if threshold >= bits:  # every item is near every other: one star
         least = some.agg(F.min(key).alias("src"))
         return some.crossJoin(F.broadcast(least)).filter(F.col(key) != F.col("src")).select("src", F.col(key).alias("dst"))
-    small = heads.limit(few + 1).count() <= few
-    join = brute_pairs if small else (lambda *a: banded_pairs(*a, bits=bits))
-    return join(heads, threshold, "head", fp).select("src", "dst").unionByName(copies)
+    if heads.limit(few + 1).count() <= few:
+        return brute_pairs(heads, threshold, "head", fp).select("src", "dst").unionByName(copies)
+    heads = heads.select("head", F.col(fp).alias("fp")).checkpoint()
+    near = banded_join(heads, heads, threshold, bits).filter("a < b")
+    a, b = heads.select(F.col("head").alias("src"), F.col("fp").alias("a")), heads.select(F.col("head").alias("dst"), F.col("fp").alias("b"))
+    return near.join(a, "a").join(b, "b").select("src", "dst").unionByName(copies)

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsift.operators import pairs
+from twinsift.operators.components import ensure_checkpoint_dir
 from twinsift.sources import cache
 
 
@@ -15,7 +16,8 @@ def fingerprint_stream(stream: DataFrame, fingerprint, folder, checkpoint, schem
     """
     def upsert(batch, _):
         spark = batch.sparkSession
-        new = batch.select("path", "mtime", "size", fingerprint.alias("hash")).dropDuplicates(["path"])
+        ensure_checkpoint_dir(spark)
+        new = batch.select("path", "mtime", "size", fingerprint.alias("hash")).dropDuplicates(["path"]).checkpoint()  # read several times
         cache.write_if_changed(spark, folder, cache.read(spark, folder, schema), new)
 
     writer = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
@@ -23,8 +25,11 @@ def fingerprint_stream(stream: DataFrame, fingerprint, folder, checkpoint, schem
 
 
 def new_pairs(new: DataFrame, table: DataFrame, threshold, key="path", fp="hash", bits=64) -> DataFrame:
-    """Pairs within the threshold that have a new item, by the banded join over both."""
-    all_ = table.select(key, fp).unionByName(new.select(key, fp)).dropDuplicates([key])
-    met = pairs.banded_pairs(all_, threshold, key, fp, bits)
-    mine = new.select(F.col(key).alias("_k"))
-    return met.join(mine, (F.col("src") == F.col("_k")) | (F.col("dst") == F.col("_k")), "left_semi")
+    """Pairs src < dst within the threshold that have a new item.  Only the new items' distinct
+    fingerprints send probes; the table's meet them once."""
+    both = pairs.settled(new.select(key, fp), key, fp).dropDuplicates([key]).select(F.col(key).alias("i"), F.col(fp).alias("a")).checkpoint()
+    all_ = table.join(new.select(key), key, "left_anti").select(key, fp).filter(F.col(fp).isNotNull()).select(F.col(key).alias("j"), F.col(fp).alias("b"))
+    all_ = all_.unionByName(both.select(F.col("i").alias("j"), F.col("a").alias("b"))).checkpoint()
+    near = pairs.banded_join(both.select(F.col("a").alias("fp")), all_.select(F.col("b").alias("fp")), threshold, bits)
+    met = near.join(both, "a").join(all_, "b").filter("i <> j")
+    return met.select(F.least("i", "j").alias("src"), F.greatest("i", "j").alias("dst"), "distance").distinct()
