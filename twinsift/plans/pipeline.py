@@ -30,23 +30,30 @@ def build_groups(items: DataFrame, fps: DataFrame, metrics: DataFrame, weights,
 def scan_images(spark, cfg: config.ScanConfig, cache_dir=None):
     """(groups, scored members) of the images in a directory.
 
-    With cache_dir, hashes and metrics of unchanged files (path, time, size) are read back,
-    and only what is new is decoded; failed images stay out of the analysis cache.
+    With cache_dir, hashes and metrics of unchanged files (path, time, size) are read back, and
+    only what is new is read and decoded; failed images stay out of the analysis cache.
     """
     found = files.scan(spark, cfg).select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
-    decoded = files.images(spark, cfg)
+
+    def computed(rows, value, compute):
+        return files.images(spark, cfg, rows).select("path", compute().alias(value)).join(rows, "path").select("path", "mtime", "size", value)
 
     def cached(name, schema, value, rows, compute):
         if cache_dir is None:
-            return decoded.join(rows.select("path"), "path", "left_semi").select("path", compute().alias(value)).join(rows, "path")
+            return computed(rows, value, compute).checkpoint()
         folder = f"{cache_dir}/{name}"
         old = cache.read(spark, folder, schema)
-        new = decoded.join(cache.misses(rows, old, value).select("path"), "path", "left_semi").select("path", compute().alias(value)).join(rows, "path").select("path", "mtime", "size", value)
+        new = computed(cache.misses(rows, old, value), value, compute)
         new = (new if value == "hash" else new.filter(F.col(value).isNotNull())).checkpoint()
+        got = cache.lookup(rows, old, value).filter("is_hit").drop("is_hit").checkpoint()
         cache.write_if_changed(spark, folder, old, new)
-        return cache.lookup(rows, old, value).filter("is_hit").drop("is_hit").unionByName(new)
+        return got.unionByName(new)
 
     ensure_checkpoint_dir(spark)
+    most = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(most, str(2**31 - 1))) > I.BATCH_BYTES:
+        spark.conf.set(most, str(I.BATCH_BYTES))
+    found = found.checkpoint()
     hashes = cached("hashes", HASHES, "hash", found, I.image_hash)
     edges = pairs.linking_edges(hashes.select("path", F.col("hash").alias("fp")), cfg.threshold, "path")
     grouped = grouping.members(found, edges, "path", files.path_key("path")).checkpoint()

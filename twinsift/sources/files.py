@@ -1,11 +1,16 @@
 """File scans as relations of paths."""
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsift import config
+from twinsift.functions import images as I
 from twinsift.functions.scalars import col, suffix
 
+OTHER_SUFFIXES = (".heic", ".heif", ".webp")  # beyond the JVM's decoders
+
 
 def has_suffix(path, suffixes=config.IMAGE_SUFFIXES) -> Column:
     return suffix(path).isin(*suffixes)
@@ -18,10 +23,10 @@ def outside(path, directory) -> Column:
 
 
 def below(path, directory, recursive) -> Column:
-    """A direct child of the directory, or anything below it if recursive."""
-    p = col(path)
-    inside = p.startswith(f"{directory}/") & (p != f"{directory}/")
-    return inside if recursive else inside & (F.instr(F.substring(p, len(directory) + 2, 1 << 30), "/") == 0)
+    """A direct child of the directory (a name or a column), or anything below it if recursive."""
+    p, folder = col(path), F.concat(directory if isinstance(directory, Column) else F.lit(directory), F.lit("/"))
+    inside = p.startswith(folder) & (p != folder)
+    return inside if recursive else inside & (F.instr(F.substr(p, F.length(folder) + 1), "/") == 0)
 
 
 def path_key(path) -> Column:
@@ -30,8 +35,13 @@ def path_key(path) -> Column:
 
 
 def plain(path) -> Column:
-    """A file: URI as a path."""
-    return F.regexp_replace(F.regexp_replace(col(path), "^file:/+", "/"), "%20", " ")
+    """A file: path as binaryFile gives it (not encoded) without its scheme."""
+    return F.regexp_replace(col(path), "^file:/+", "/")
+
+
+def decoded_uri(uri) -> Column:
+    """A file: URI as the image source gives it (encoded) as a path; a plus sign is itself."""
+    return F.url_decode(F.replace(plain(uri), F.lit("+"), F.lit("%2B")))
 
 
 def select_files(paths: DataFrame, directory, recursive=False, exclude=None, suffixes=config.IMAGE_SUFFIXES, path="path") -> DataFrame:
@@ -51,7 +61,29 @@ def scan(spark, cfg: config.ScanConfig, suffixes=config.IMAGE_SUFFIXES) -> DataF
     return select_files(files, cfg.directory, cfg.recursive, cfg.dest_dir, suffixes)
 
 
-def images(spark, cfg: config.ScanConfig) -> DataFrame:
-    """Rows path, image (height -1 where a file can't be decoded)."""
-    loaded = spark.read.format("image").option("recursiveFileLookup", str(cfg.recursive).lower()).load(cfg.directory)
-    return select_files(loaded.select(plain("image.origin").alias("path"), "image"), cfg.directory, cfg.recursive, cfg.dest_dir)
+FEW_PATHS = 20_000  # listed by name; beyond that the directory is read and joined
+
+
+def images(spark, cfg: config.ScanConfig, wanted: DataFrame, few=FEW_PATHS) -> DataFrame:
+    """Rows path, image (height -1 where it can't be decoded) of the `wanted` paths alone.
+
+    Few paths (a checked number) are loaded by name, so that other files are neither read nor
+    decoded; more are picked from the directory's rows.  What Spark doesn't decode goes through
+    `images.other_formats`, where an optional decoder is installed.
+    """
+    paths = [r[0] for r in wanted.select("path").limit(few + 1).collect()]
+    if not paths:
+        return spark.createDataFrame([], f"path string, image {I.IMAGE_TYPE}")
+    source = spark.read.format("image")
+    if len(paths) <= few:
+        # glob characters in names are literal
+        loaded = source.load([re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in paths])
+        rows = loaded.select(decoded_uri("image.origin").alias("path"), "image")
+    else:
+        loaded = source.option("recursiveFileLookup", str(cfg.recursive).lower()).load(cfg.directory)
+        rows = loaded.select(decoded_uri("image.origin").alias("path"), "image").join(wanted.select("path"), "path", "left_semi")
+    if I.other_decoder() is None:
+        return rows
+    other = wanted.select("path").filter(suffix("path").isin(*OTHER_SUFFIXES))
+    data = spark.read.format("binaryFile").option("recursiveFileLookup", str(cfg.recursive).lower()).load(cfg.directory).select(plain("path").alias("path"), "content")
+    return rows.filter(~suffix("path").isin(*OTHER_SUFFIXES)).unionByName(data.join(other, "path", "left_semi").select("path", I.other_formats("path", "content").alias("image")))
