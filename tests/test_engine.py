@@ -1,5 +1,6 @@
 """Rules of the near-duplicate engine on small relations."""
 
+import json
 import random
 
 import numpy as np
@@ -13,10 +14,10 @@ from twinsift.operators import grouping, manifest, pairs, review, scoring
 from twinsift.operators.components import connected_components
 from twinsift.plans import views
 from twinsift.sources import cache, files
-from twinsift.streaming import incremental
+from twinsift.streaming import incremental, progress
 
 WEIGHTS = config.IMAGE_WEIGHTS
-BASE = {"effective_resolution_px_equiv": 1000.0, "sharpness_normalized": 50.0, "effective_resolution_fraction": 0.8, "noise_sigma": 10.0, "blockiness": 5.0, "brisque": 20.0, "niqe": 3.0}
+BASE = {"effective_resolution_px_equiv": 640.0, "sharpness_normalized": 31.0, "effective_resolution_fraction": 0.6, "noise_sigma": 7.0, "blockiness": 2.5, "brisque": 44.0, "niqe": 5.5}
 
 
 def signed(x):
@@ -29,12 +30,12 @@ def test_banded_join_finds_what_brute_force_finds(spark, threshold):
     base = [rng.getrandbits(64) for _ in range(60)]
     rows = [(i, signed(base[i % 60] ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 12))))) for i in range(240)] + [(900, None)]
     fps = spark.createDataFrame(rows, "id long, fp long")
-    bands = 8 if threshold == 20 else 4
-    got = {tuple(r) for r in pairs.banded_pairs(fps, threshold, bands=bands).collect()}
+    every = [("bands", threshold // 3 + 1), ("combinations", threshold + 2)] if threshold < 10 else [("bands", 4 if threshold == 10 else 8)]
+    (got,) = {frozenset(tuple(r) for r in pairs.banded_pairs(fps, threshold, keys=k).collect()) for k in (*every, None)}
     want = {(i, j, bin((a ^ b) & (2**64 - 1)).count("1")) for i, a in rows[:-1] for j, b in rows[:-1] if i < j and bin((a ^ b) & (2**64 - 1)).count("1") <= threshold}
     assert got == want == {tuple(r) for r in pairs.brute_pairs(fps, threshold).collect()}
     few = connected_components(pairs.linking_edges(fps, threshold))
-    many = connected_components(pairs.linking_edges(fps, threshold, few=5)) if threshold < 16 else few
+    many = connected_components(pairs.linking_edges(fps, threshold, few=5)) 
     all_ = connected_components(pairs.brute_pairs(fps, threshold))
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == sorted(map(tuple, all_.collect()))
 
@@ -73,7 +74,7 @@ def test_better_on_every_metric_scores_one(spark):
 
 @pytest.mark.parametrize("bad", [None, float("nan"), float("inf")])
 def test_a_metric_that_one_member_lacks_is_left_out_for_all(spark, bad):
-    s, _ = scored(spark, [BASE | {"brisque": bad, "sharpness_normalized": 40.0}, BASE | {"brisque": 1.0}])
+    s, _ = scored(spark, [BASE | {"brisque": bad, "sharpness_normalized": 20.0}, BASE | {"brisque": 1.0}])
     other = {k: w for k, w in WEIGHTS.items() if k != "brisque"}
     low = sum(abs(w) for w in other.values() if w < 0) / sum(map(abs, other.values()))
     assert s == pytest.approx([low, low + 0.2 / sum(map(abs, other.values()))])
@@ -139,8 +140,16 @@ def test_cache_versions_and_rules(spark, tmp_path):
     stats = spark.createDataFrame([("a", 2, 1), ("b", 1, 1), ("c", 1, 1)], "path string, mtime long, size long")
     assert {r["path"]: r["is_hit"] for r in cache.lookup(stats, now, "hash").collect()} == {"a": True, "b": False, "c": False}
     assert {r["path"] for r in cache.misses(stats, now, "hash").collect()} == {"b", "c"}
-    (tmp_path / "c" / "CURRENT").write_text("gone")
-    assert cache.read(spark, folder, schema).limit(1).schema is not None
+    for text in ("gone", "v-00000000-0000-0000-0000-000000000000", "{not valid json", ""):
+        (tmp_path / "c" / "CURRENT").write_text(text)
+        assert cache.read(spark, folder, schema).count() == 0
+    for n in range(3):
+        cache.write(spark, folder, rows(("z", n, 1, 1)))
+        assert [r["mtime"] for r in cache.read(spark, folder, schema).collect()] == [n]
+    assert len(list((tmp_path / "c").glob("v-*"))) <= 3  # this one, the one before and what a corrupt pointer left
+    (tmp_path / "file").write_text("x")
+    with pytest.raises(Exception):  # a store that can't be read isn't an empty cache
+        cache.write(spark, str(tmp_path / "file"), rows())
 
 
 def members_of(spark, paths, cfg=None, resolved=None):
@@ -159,6 +168,62 @@ def test_destinations_take_free_numbers_and_keep_folders(spark):
     assert sorted(r["to_path"] for r in manifest.destinations(same, flat).collect()) == ["/o/a.png", "/o/a_dup1.png", "/o/a_dup2.png"]
 
 
+def walked(paths, existing, cfg):
+    """Targets one by one, each free among what is there and what was moved before."""
+    there, out = set(existing), []
+    for p in paths:
+        name = p.removeprefix(f"{cfg.directory}/") if cfg.recursive else p.rsplit("/", 1)[1]
+        folder, _, file = name.rpartition("/")
+        dot = file.rfind(".")
+        stem, end = (file, "") if dot <= 0 else (file[:dot], file[dot:])
+        at, n = f"{cfg.dest_dir}/{name}", 1
+        while at in there:
+            at, n = f"{cfg.dest_dir}/{folder + '/' if folder else ''}{stem}_dup{n}{end}", n + 1
+        if not cfg.dry_run:
+            there.add(at)
+        out.append(at)
+    return out
+
+
+@pytest.mark.parametrize("recursive", [False, True])
+@pytest.mark.parametrize("dry_run", [False, True])
+def test_destinations_are_those_of_moving_one_by_one(spark, recursive, dry_run):
+    rng = random.Random(recursive)
+    cfg = config.ScanConfig("/d", recursive=recursive, dest_dir="/o", dry_run=dry_run)
+    stems = ["a", "a_dup1", "a_dup2", "a_dup1_dup1", "b", "b_dup01", "a_dup0", ".h", "c"]
+    names = sorted({f"/d/{rng.randint(0, 9)}/{rng.choice(stems)}{rng.choice(['.png', '', '.jpg'])}" for _ in range(150)})
+    rng.shuffle(names)
+    rows = spark.createDataFrame(list(enumerate(names)), "place int, path string")
+    folder = lambda: f"{rng.randint(0, 9)}/" if recursive else ""
+    for existing in ([], [f"/o/{folder()}{rng.choice(stems[:-1])}{rng.choice(['.png', ''])}" for _ in range(12)]):
+        there = spark.createDataFrame([(p,) for p in existing], "path string")
+        got = {r["place"]: r["to_path"] for r in manifest.destinations(rows, cfg, there, order=("place",)).collect()}
+        assert [got[i] for i in range(len(names))] == walked(names, existing, cfg)
+        assert dry_run or len({*got.values(), *existing}) == len(names) + len(set(existing))
+
+
+def test_moves_never_overwrite(spark, tmp_path):
+    ps = make(tmp_path, ["a", "b.png", "c"])
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "b.png").write_text("older")
+    (tmp_path / "out" / "b_dup1.png").symlink_to("nowhere")
+    mover = manifest.Mover()
+    mover.apply(0, ps[0], [(ps[1], f"{tmp_path}/out/b.png")])
+    assert mover.entries[0]["moved"] == [(ps[1], f"{tmp_path}/out/b_dup2.png")]
+    assert (tmp_path / "out" / "b.png").read_text() == "older" and (tmp_path / "out" / "b_dup2.png").read_text() == "b.png"
+    mover.unapply(0)
+    assert (tmp_path / "b.png").read_text() == "b.png" and (tmp_path / "out" / "b.png").exists()
+
+
+def test_numbers_within_large_groups_are_spread(spark):
+    df = spark.range(3000).select((F.col("id") % 7 == 0).cast("int").alias("g"), F.xxhash64("id").alias("k")).repartition(9)
+    got = grouping.ranked(df, "g", "k", "at").collect()
+    for g in (0, 1):
+        mine = sorted((r["k"], r["at"]) for r in got if r["g"] == g)
+        assert [a for _, a in mine] == list(range(len(mine)))
+    assert grouping.ranked(df.limit(0), "g", "k", "at").count() == 0
+
+
 def test_targets_of_a_kept_link_stay(spark):
     m = members_of(spark, ["/d/link", "/d/real", "/d/other"], resolved={"/d/link": "/d/real"})
     picks = spark.createDataFrame([(0, 0)], "group_id int, pick int")
@@ -192,9 +257,10 @@ def test_a_failed_group_is_reported_and_the_rest_go_on(spark, tmp_path):
     plan = [(0, ps[0], ps[1], f"{dest}/b", 1, False), (0, ps[0], ps[2], f"{dest}/c", 2, False), (1, ps[3], ps[4], f"{dest}/e", 4, False), (1, ps[3], ps[5], f"{dest}/f", 8, False)]
     df = spark.createDataFrame(plan, "group_id int, kept string, from_path string, to_path string, size long, dry_run boolean")
     mover = manifest.Mover(move=Flaky(2))
-    s = manifest.auto_summary(mover.auto(spark, df)).first()
+    outcomes = mover.auto(spark, df)
+    s = manifest.auto_summary(outcomes).first()
     assert (s["confirmed"], s["failed"], s["files_moved"], s["bytes_reclaimed"]) == (1, 1, 3, 12)
-    assert [(f["group_id"], f["error"], f["files_moved"], f["bytes_moved"]) for f in s["failures"]] == [(0, "disk full", 1, 1)]
+    assert [tuple(f) for f in manifest.auto_failures(outcomes).collect()] == [(0, "disk full", 1, 1)]
     assert mover.entries[0]["moved"] == [(ps[1], f"{dest}/b")]
     mover.move = Flaky(0)
     mover.unapply(0), mover.unapply(1), mover.unapply(7)
@@ -296,7 +362,54 @@ def test_stream_keeps_the_table_current(spark, tmp_path):
     now = cache.read(spark, folder, schema + ", hash long")
     assert {(r["path"], r["hash"]) for r in now.collect()} == {("a", 2), ("b", 6), ("c", 8)}
     new = spark.createDataFrame([("d", 9)], "path string, hash long")
-    assert all("d" in tuple(r)[:2] for r in incremental.new_pairs(new, now, 1).collect())
+    assert {tuple(r) for r in incremental.new_pairs(new, now, 1).collect()} == {("c", "d", 1)}
+    rng = random.Random(1)
+    rows = [(f"p{i}", signed(rng.getrandbits(8) << 40)) for i in range(60)]
+    old, fresh = (spark.createDataFrame(r, "path string, hash long") for r in (rows, [("p3", 0), ("q", 1 << 40), ("r", 1 << 40), ("s", None)]))
+    all_ = dict(rows) | {"p3": 0, "q": 1 << 40, "r": 1 << 40}
+    want = {(a, b, bin(all_[a] ^ all_[b]).count("1")) for a in all_ for b in all_ if a < b and {a, b} & {"p3", "q", "r"} and bin(all_[a] ^ all_[b]).count("1") <= 3}
+    assert {tuple(r) for r in incremental.new_pairs(fresh, old, 3).collect()} == want
+
+
+def test_progress_is_a_stream_of_events():
+    p = progress.Progress()
+    p("Hashing", 1, 3)
+    told = p.events(timeout=5)
+    assert json.loads(next(told)[6:]) == {"status": "scanning", "label": "Hashing", "done": 1, "total": 3}
+    p("Hashing", 3, 3), p.finish()
+    last = [json.loads(e[6:]) for e in told]
+    assert last[-1]["status"] == "done" and last[-1]["done"] == 3
+    assert [json.loads(e[6:])["status"] for e in p.events(timeout=5)] == ["done"]  # late readers get the end at once
+    q = progress.Progress()
+    assert len(list(q.events(timeout=0.05))) == 1
+    q.finish("disk full")
+    assert json.loads(next(q.events())[6:])["error"] == "disk full"
+
+
+def test_a_streaming_scan_reports_its_rows(spark, tmp_path):
+    spark.range(40).selectExpr("cast(id as string) as path", "timestamp_seconds(id) as mtime", "id as size").write.parquet(f"{tmp_path}/in")
+    p = progress.Progress()
+    listener = progress.QueryProgress(p, total=40)
+    spark.streams.addListener(listener)
+    try:
+        stream = spark.readStream.schema("path string, mtime timestamp, size long").parquet(f"{tmp_path}/in")
+        incremental.fingerprint_stream(stream, F.col("size"), f"{tmp_path}/t", f"{tmp_path}/ck").awaitTermination()
+        told = [json.loads(e[6:]) for e in p.events(timeout=30)]
+    finally:
+        spark.streams.removeListener(listener)
+    assert told[-1]["status"] == "done" and told[-1]["done"] == told[-1]["total"] == 40
+
+
+def test_status_text(spark):
+    rows = [(0, "pending", 3, 1, "b", 0, "a", False), (1, "confirmed", 2, 1, "d", 1, "d", False), (2, "confirmed", 2, 0, "e", 1, "f", True), (3, "skipped", 2, 0, "g", 0, "g", True)]
+    g = spark.createDataFrame(rows, "group_id int, status string, members int, pick int, pick_name string, suggested int, suggested_name string, needs_reapply boolean")
+    head = "Groups: 4  confirmed=2  skipped=1  pending=1"
+    got = {r[0]: r[1] for r in views.status_text(g).collect()}
+    assert got == {
+        0: f"{head}\nkeep [2] b, move 2 other files\nyour pick [2]  ·  ★ suggested [1] a", 1: f"{head}\nalready confirmed\n",
+        2: f"{head}\nchange keep [1] e, move 1 other file  (press c/Enter to confirm)\nyour pick [1]  ·  ★ suggested [2] f", 3: f"{head}\nalready skipped\n",
+    }
+    assert views.status_text(g, dry_run=True).first()[1].split("\n")[0] == head + "  [DRY RUN]"
 
 
 def test_flagship(spark):

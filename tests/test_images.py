@@ -114,6 +114,88 @@ def test_scan_groups_scores_and_caches(spark, album, tmp_path_factory):
     assert shown[0, "Dimensions"] == "400x300" and shown[2, "Dimensions"] == "100x75" and shown[0, "NIQE (lower better)"] == "n/a"
 
 
+def test_names_that_uris_encode_stay_in_their_group(spark, tmp_path, tmp_path_factory):
+    base = texture(7, 120, 160)
+    names = ["k[1].png", "p%20q.png", "a b.png", "c+d.png", "é#?.png", "x{y}*.png"]
+    for n in names:
+        png(tmp_path / n, base)
+    png(tmp_path / "k1.png", texture(9, 120, 160))
+    cfg = config.ScanConfig(str(tmp_path))
+    for few in (files.FEW_PATHS, 1):
+        found = files.scan(spark, cfg).select("path")
+        assert {r["path"] for r in files.images(spark, cfg, found, few).select("path").collect()} == {f"{tmp_path}/{n}" for n in [*names, "k1.png"]}
+    _, members = pipeline.scan_images(spark, cfg, str(tmp_path_factory.mktemp("store")))
+    assert {r["path"].rsplit("/", 1)[1] for r in members.collect()} == set(names)
+
+
+def test_a_cached_scan_decodes_what_is_new_alone(spark, album, tmp_path_factory, monkeypatch):
+    store, cfg, asked = str(tmp_path_factory.mktemp("store")), config.ScanConfig(str(album), recursive=True), []
+    load = files.images
+    monkeypatch.setattr(files, "images", lambda s, c, wanted, *a: (asked.append({r["path"].rsplit("/", 1)[1] for r in wanted.collect()}), load(s, c, wanted, *a))[1])
+    pipeline.scan_images(spark, cfg, store)
+    assert asked == [{"big.png", "small.PNG", "other.png", "copy.png", "broken.png"}, {"big.png", "small.PNG", "copy.png"}]
+    asked.clear()
+    png(album / "new.png", texture(7, 300, 400))
+    _, members = pipeline.scan_images(spark, cfg, store)
+    assert asked == [{"new.png", "broken.png"}, {"new.png"}] and members.count() == 4
+
+
+def test_half_spectrum_gives_the_rings_of_the_whole():
+    rng = np.random.default_rng(1)
+    for h, w in ((8, 8), (9, 12), (12, 9), (7, 7)):
+        a = rng.normal(size=(h, w))
+        power = np.abs(np.fft.fftshift(np.fft.fft2(a))) ** 2
+        ring = np.hypot(np.arange(h)[:, None] - h // 2, np.arange(w)[None, :] - w // 2).astype(int)
+        half = np.abs(np.fft.rfft2(a)) ** 2
+        half[:, 1 : (w + 1) // 2] *= 2
+        n = min(h, w) // 2
+        assert np.bincount(I._ring(h, w), half.ravel())[:n] == pytest.approx(np.bincount(ring.ravel(), power.ravel())[:n])
+
+
+def test_thumbnails_fit_and_fail_as_a_gray_square(spark, album):
+    a = texture(3, 90, 300)[:, :, ::-1]
+    w, h, data = I.thumbnail(a.tobytes(), 90, 300, 3, side=100)
+    assert (w, h) == (100, 30) and len(data) == 100 * 30 * 3
+    assert I.thumbnail(a.tobytes(), 90, 300, 3) == (300, 90, texture(3, 90, 300).tobytes())  # never enlarged, RGB
+    assert I.thumbnail(None, -1, -1, -1, side=8) == (8, 8, bytes((60, 60, 60)) * 64)
+    cfg = config.ScanConfig(str(album))
+    got = {r["path"].rsplit("/", 1)[1]: r["t"] for r in files.images(spark, cfg, files.scan(spark, cfg).select("path")).select("path", I.image_thumbnail(side=50).alias("t")).collect()}
+    assert (got["big.png"]["width"], got["big.png"]["height"]) == (50, 38) and (got["broken.png"]["width"], got["broken.png"]["height"]) == (50, 50)
+
+
+def test_other_formats_go_through_an_optional_decoder(spark):
+    def decode(content):
+        return np.full((2, 3, 3), content[0], np.uint8)
+
+    df = spark.createDataFrame([("a.heic", bytearray(b"\x07x")), ("b.heic", bytearray()), ("c.heic", None)], "path string, content binary")
+    got = {r["path"]: r["i"] for r in df.select("path", I.other_formats("path", "content", decode).alias("i")).collect()}
+    assert (got["a.heic"]["height"], got["a.heic"]["width"], bytes(got["a.heic"]["data"])) == (2, 3, b"\x07" * 18)
+    assert got["b.heic"]["height"] == got["c.heic"]["height"] == -1
+    assert [r["h"] for r in df.select(I.image_hash(I.other_formats("path", "content", decode)).alias("h")).collect()][1:] == [None, None]
+
+
+def test_optional_scorers_are_asked_where_they_are_installed(monkeypatch):
+    import types
+
+    a = texture(2, 40, 50)
+    assert I.analyse(a.tobytes(), 40, 50, 3)["brisque"] is None
+    seen = []
+    scorer = types.SimpleNamespace(BRISQUE=lambda url: types.SimpleNamespace(score=lambda img: seen.append(img) or 12))
+    monkeypatch.setattr(I, "optional", lambda name: scorer if name == "brisque" else None)
+    got = I.analyse(a.tobytes(), 40, 50, 3)
+    assert got["brisque"] == 12.0 and got["niqe"] is None and (seen[0] == a[:, :, ::-1]).all()
+    scorer.BRISQUE = lambda url: 1 / 0
+    assert I.analyse(a.tobytes(), 40, 50, 3)["brisque"] is None
+
+
+def test_an_older_file_in_the_way_stays(spark, album, monkeypatch):
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    (album / "_duplicates").mkdir()
+    (album / "_duplicates" / "copy.png").write_bytes(b"older")
+    assert cli.main(["scan", str(album), "--auto"]) == 0
+    assert (album / "_duplicates" / "copy.png").read_bytes() == b"older" and (album / "_duplicates" / "copy_dup1.png").exists()
+
+
 def test_flat_scan_finds_direct_children_only(spark, album):
     got = files.scan(spark, config.ScanConfig(str(album))).collect()
     assert {r["path"].rsplit("/", 1)[1] for r in got} == {"big.png", "other.png", "copy.png", "broken.png"}
