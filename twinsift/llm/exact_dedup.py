@@ -10,8 +10,11 @@
    one line a document are grouped, so long texts never move again.
 
 Defined cases: null text is empty, all empty texts form one group; equal code point
-counts go to the smaller doc_id, and a null one last; rows that repeat a doc_id each get a
-row; other columns are ignored; an empty table gives an empty result.
+counts go to the smaller doc_id (of any type that has an order), and a null one last; rows
+that repeat a doc_id each get a row, and exactly one row of a group is kept, of equal ones the
+one of the least text hash, then the first read; other columns, whatever their names, are
+ignored; an empty table gives an empty result.  A text is held whole, with two copies of its
+normalised bytes and hashes of a megabyte at a time.
 """
 
 import hashlib
@@ -32,10 +35,12 @@ def cuts(buf, off, average, most):
     bits = max(1, int(average).bit_length() - 1)
     out = []
     if len(buf) > WINDOW:
-        pre = K.prefix(buf)
-        at = np.arange(WINDOW, len(buf) + 1)
-        h = K.range_hash(pre, at - WINDOW, at)
-        ends = at[(h & np.uint64((1 << bits) - 1)) == 0]
+        step, found = 1 << 20, []
+        for a in range(WINDOW, len(buf) + 1, step):
+            at = np.arange(a, min(a + step, len(buf) + 1))
+            h = K.hashes(buf, at - WINDOW, at)
+            found.append(at[(h & np.uint64((1 << bits) - 1)) == 0])
+        ends = np.concatenate(found)
     else:
         ends = np.zeros(0, np.int64)
     lo = np.searchsorted(ends, off[:-1] + WINDOW, "left")
@@ -67,18 +72,24 @@ def _split(text, ends):
     return [text[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def exact_groups(docs, text="text", key="doc_id", average=2048, most=16384):
-    """One row for each row of `docs`: key, keep_id, group_size, kept, text_sha256, n_chunks."""
+def fingerprint(chunk):
+    return xxhash.xxh3_128_digest(chunk)
+
+
+def exact_groups(docs, text="text", key="doc_id", average=2048, most=16384, name=fingerprint):
+    """One row for each row of `docs`: key, keep_id, group_size, kept, text_sha256, n_chunks.
+    `name` gives a chunk's fingerprint."""
     K.checkpoint_dir(docs.sparkSession)
-    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def recipes(batches):
         for batch in K.parts(batches, "text"):
             points = pc.fill_null(pc.utf8_length(batch["text"]), 0)
-            rows = [(hashlib.sha256(t).hexdigest(), [xxhash.xxh3_128_digest(c) for c in _split(t, e)]) for _, t, e in _chunks(batch["text"], average, most)]
+            rows = [(hashlib.sha256(t).hexdigest(), [name(c) for c in _split(t, e)]) for _, t, e in _chunks(batch["text"], average, most)]
+            prints = [xxhash.xxh3_64_intdigest(t.as_buffer() if t.is_valid else b"") - 2**63 for t in batch["text"]]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pc.cast(points, pa.int64()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.binary()))],
-                ["doc_id", "points", "text_sha256", "recipe"],
+                [batch["doc_id"], pc.cast(points, pa.int64()), pa.array(prints, pa.int64()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.binary()))],
+                ["doc_id", "points", "print", "text_sha256", "recipe"],
             )
 
     def contents(batches):
@@ -87,26 +98,31 @@ def exact_groups(docs, text="text", key="doc_id", average=2048, most=16384):
             for _, t, e in _chunks(batch["text"], average, most):
                 for c in _split(t, e):
                     seen[c] = None
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(c) for c in seen], pa.binary()), pa.array(list(seen), pa.binary())], ["fp", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array([name(c) for c in seen], pa.binary()), pa.array(list(seen), pa.binary())], ["fp", "bytes"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    lines = docs.mapInArrow(recipes, f"doc_id {id_type}, points long, text_sha256 string, recipe array<binary>").checkpoint()  # short lines; read again below
+    lines = docs.mapInArrow(recipes, f"doc_id {id_type}, points long, print long, text_sha256 string, recipe array<binary>")
+    lines = lines.withColumn("row", F.monotonically_increasing_id()).checkpoint()  # short lines; read again below
     clash = docs.select("text").mapInArrow(contents, "fp binary, bytes binary").distinct().groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
     lines = verified(lines, docs, clash, average, most)
-    # a row for each group from map-side combined maxima, then back to the members
-    best = lines.groupBy("recipe").agg(F.max(F.struct("points", (-F.col("doc_id")).alias("neg"))).alias("best"), F.count("*").alias("group_size"))
-    best = best.filter("group_size > 1").select("recipe", (-F.col("best.neg")).cast(id_type).alias("kept_id"), "group_size").checkpoint()
-    lines = lines.join(best, "recipe", "left").withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("kept_id")))
+    # a row for each group from map-side combined minima, then back to the members
+    first = F.min(F.struct((-F.col("points")).alias("points"), F.col("doc_id").isNull().alias("none"), "doc_id", "print", "row")).alias("first")
+    best = lines.groupBy("recipe").agg(first, F.count("*").alias("group_size")).filter("group_size > 1")
+    best = best.select("recipe", F.col("first.doc_id").alias("kept_id"), F.col("first.row").alias("kept_row"), "group_size").checkpoint()
+    lines = lines.join(best, "recipe", "left")
+    alone = F.col("group_size").isNull()
     return lines.select(
-        F.col("doc_id").alias(key), "keep_id", F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks")
-    )
+        F.col("doc_id").alias(key), F.when(alone, F.col("doc_id")).otherwise(F.col("kept_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("row") == F.col("kept_row"))).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks"),
+    )
 
 
 def verified(lines, docs, clash, average, most):
     """Recipes whose identifiers stand for one byte string each.
 
     Fingerprints in `clash` have more than one content; in a recipe that has one of them
-    every identifier becomes the SHA-256 of the document's chunk at that place.
+    every identifier becomes the SHA-256 of the text's chunk at that place.  Recipes depend on
+    the normalised text alone, so they are found again by its hash.
     """
     clash = clash.checkpoint()
     if clash.isEmpty():
@@ -114,9 +130,9 @@ def verified(lines, docs, clash, average, most):
 
     def long_names(batches):
         for batch in K.parts(batches, "text"):
-            rows = [[hashlib.sha256(c).digest() for c in _split(t, e)] for _, t, e in _chunks(batch["text"], average, most)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(rows, pa.list_(pa.binary()))], ["doc_id", "strong"])
+            rows = [(hashlib.sha256(t).hexdigest(), [hashlib.sha256(c).digest() for c in _split(t, e)]) for _, t, e in _chunks(batch["text"], average, most)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.binary()))], ["hash", "strong"])
 
-    hit = lines.select("doc_id", F.explode("recipe").alias("fp")).join(clash, "fp", "left_semi").select("doc_id").distinct()
-    strong = docs.join(hit, "doc_id", "left_semi").mapInArrow(long_names, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, strong array<binary>").dropDuplicates(["doc_id"])
-    return lines.join(strong, "doc_id", "left").select("doc_id", "points", "text_sha256", F.coalesce("strong", "recipe").alias("recipe"))
+    hit = lines.select(F.col("text_sha256").alias("hash"), F.explode("recipe").alias("fp")).join(clash, "fp", "left_semi").select("hash").distinct()
+    strong = docs.select("text").mapInArrow(long_names, "hash string, strong array<binary>").dropDuplicates(["hash"]).join(hit, "hash", "left_semi").checkpoint()
+    return lines.join(strong, lines["text_sha256"] == strong["hash"], "left").withColumn("recipe", F.coalesce("strong", "recipe")).drop("hash", "strong")
