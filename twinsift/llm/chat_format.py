@@ -7,41 +7,53 @@ expand to.  A turn is written as
 
     <|turn|>role<|text|>content<|end|>
 
-Control strings inside roles and texts (`<|`, `<s>`, `</s>`, `[INST]`, `[/INST]` and the
-backslash) get a backslash after their first character; removing each backslash and
-keeping the character after it gives the text back.
+Each `<`, `[` and backslash of a role or text part is written as a backslash and a letter (l, b
+and e), so no control string (`<|...|>`, `<s>`, `</s>`, `[INST]`, `[/INST]`) can stand in what a
+speaker wrote, nor come about where two parts meet; every raw `<` in the output belongs to the
+template, so placeholders can't be forged either.  Turning the letters back gives the text.
 
 Defined cases: a null role or text is empty; a null or empty list of parts is an empty
-content; a kind that isn't known counts as document; turns that share a number go by
-role, then content; repeated rows are turns of their own; other columns are ignored; a
-null conv_id is a conversation; an empty table gives an empty result.
+content; a kind that isn't known counts as document; sizes that are null count as one token's
+worth, those below zero or not a number as none, and one attachment as 2**40 tokens at most;
+turns that share a number go by role, then content; repeated rows are turns of their own; other
+columns, whatever their names, are ignored; a null conv_id is a conversation; an empty table
+gives an empty result.  A conversation is one output row, so its text must fit in one.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The markers and what is escaped.
+# The markers and what is escaped (the backslash first, and last on the way back).
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
-CONTROL = r"\\|<(?=\||/?s>)|\[(?=/?INST\])"
+ESCAPES = (("\\", "\\e"), ("<", "\\l"), ("[", "\\b"))
+MOST_TOKENS = 1 << 40
 PART = "struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 
 
 def escape(c: Column) -> Column:
-    return F.regexp_replace(F.coalesce(c, F.lit("")), CONTROL, r"$0\\")
+    out = F.coalesce(c, F.lit(""))
+    for raw, code in ESCAPES:
+        out = F.replace(out, F.lit(raw), F.lit(code))
+    return out
 
 
 def unescape(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?s)\\(.)", "$1")
+    for raw, code in reversed(ESCAPES):
+        c = F.replace(c, F.lit(code), F.lit(raw))
+    return c
 
 
 def expanded(p: Column, patch=14, per_second=25.0, per_page=512) -> Column:
     """Tokens that an attachment stands for; unknown sizes count as one token."""
-    side = lambda x: F.ceil(F.coalesce(p[x], F.lit(1)) / patch)
-    return (
-        F.when(p["kind"] == "image", side("width") * side("height"))
-        .when(p["kind"] == "audio", F.ceil(F.coalesce(p["seconds"], F.lit(0.0)) * per_second))
-        .otherwise(F.coalesce(p["pages"], F.lit(0)) * per_page)
-    ).cast("long")
+    at_least_0 = lambda x: F.greatest(x, F.lit(0))
+    side = lambda x: F.ceil(at_least_0(F.coalesce(p[x], F.lit(1)).cast("double")) / patch)
+    seconds = F.coalesce(F.nanvl(p["seconds"], F.lit(0.0)), F.lit(0.0))
+    tokens = (
+        F.when(p["kind"] == "image", (side("width") * side("height")).cast("double"))
+        .when(p["kind"] == "audio", at_least_0(seconds) * per_second)
+        .otherwise(at_least_0(F.coalesce(p["pages"], F.lit(0)).cast("double")) * per_page)
+    )
+    return F.ceil(F.least(tokens, F.lit(float(MOST_TOKENS)))).cast("long")
 
 
 def _kind(p: Column) -> Column:
@@ -58,7 +70,8 @@ def format_chats(turns: DataFrame, parts="parts", conv="conv_id", turn="turn", r
     """One row for each conversation: conv_id, n_turns, formatted, segments (its text in
     order as struct<text, loss>), attachments (struct<turn, part, kind, ref, tokens>) and
     expanded_tokens."""
-    rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")).alias("parts"))
+    at = lambda c: F.col(f"`{c}`")
+    rows = turns.select(at(conv).alias("conv_id"), at(turn).alias("turn"), F.coalesce(at(role), F.lit("")).alias("role"), F.coalesce(at(parts), F.array().cast(f"array<{PART}>")).alias("parts"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "parts")
     rows = rows.withColumn("ordinal", F.row_number().over(order))
 

@@ -58,7 +58,7 @@ def op8_mixing(spark, sf_dir):
 
 
 def op9_topk(spark, sf_dir):
-    return topk.topk(table(spark, sf_dir, "embeddings"), lambda c: c % 20 == 0)
+    return topk.topk(table(spark, sf_dir, "embeddings"), lambda c: c % 20 == 0).drop("query_row")
 
 
 def op10_quality(spark, sf_dir):
@@ -116,8 +116,7 @@ ORACLES = {
     "op7_chat_format": """
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-        e AS (SELECT *, length(text) + len(regexp_extract_all(text, '\\\\|<\\||</?s>|\\[/?INST\\]'))
-                      + length(role) + len(regexp_extract_all(role, '\\\\|<\\||</?s>|\\[/?INST\\]')) + 23 AS chars FROM c)
+        e AS (SELECT *, length(text) + len(regexp_extract_all(text, '[\\\\<\\[]')) + length(role) + len(regexp_extract_all(role, '[\\\\<\\[]')) + 23 AS chars FROM c)
         SELECT conv_id, count(*) AS n_turns,
                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
                length(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))::BIGINT AS loss_chars,
