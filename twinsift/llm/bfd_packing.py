@@ -8,7 +8,9 @@ of a bounded number of ids, so there is no shuffle, memory doesn't grow with the
 and a lost task is done again with the same result.
 
 Defined cases: null or empty text is the end id alone; equal lengths go in the order
-read; repeated rows are separate documents; an empty table gives no sequences.
+read; repeated rows, with an id or without, are separate documents; other columns, whatever
+their names, are ignored; an empty table gives no sequences.  A text is held whole while it is
+tokenised.
 """
 
 import pyarrow as pa
@@ -74,7 +76,7 @@ def pack(docs, vocabulary=None, length=2048, end_id=1, pad_id=0, text="text", ke
     """One row for each sequence (tokens.SEQUENCE): the padded id matrix row, positions that
     restart with each segment, cumulative segment lengths, and where each piece is from."""
     vocabulary = vocabulary or T.default_vocabulary()
-    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType
     arrow = to_arrow_type(kind)
 

@@ -3,12 +3,15 @@
 A document's words are hashed into a signed vector of `buckets` counts, which is scaled
 to unit length, projected by a fixed random matrix to a few dimensions and turned into
 its place on a Hilbert curve.  Documents are range-partitioned and sorted by that key
-(ties, such as thousands of equal texts, by a hash of the key column, so a hot key
-spreads over partitions) and laid out one after another; each partition is cut every
+(ties, such as thousands of equal texts, by a hash of the key column, and of the place in the
+input where it is null, so a hot key spreads over partitions) and laid out one after another; each partition is cut every
 `length` ids, so only its last sequence is padded, and not if its ids are a power of two.
 
+Partitions are as many as have about `partition_bytes` of text each.
+
 Defined cases: null or empty text is the end id alone, at the curve's middle; repeated
-rows are separate documents; an empty table gives no sequences.
+rows, with an id or without, are separate documents; other columns, whatever their names, are
+ignored; an empty table gives no sequences.  A text is held whole while it is tokenised.
 """
 
 import numpy as np
@@ -19,6 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from . import kernels as K
 from . import tokens as T
+from .naming import text_bytes
 
 BITS = 10
 
@@ -66,16 +70,15 @@ def curve_keys(column, dims=4, buckets=256, seed=7):
     return out
 
 
-def pack(docs, vocabulary=None, length=2048, end_id=1, pad_id=0, text="text", key="doc_id", dims=4, partitions=None):
+def pack(docs, vocabulary=None, length=2048, end_id=1, pad_id=0, text="text", key="doc_id", dims=4, partitions=None, partition_bytes=8 << 20):
     """One row for each sequence (tokens.SEQUENCE), neighbours on the curve side by side."""
     vocabulary = vocabulary or T.default_vocabulary()
-    spark = docs.sparkSession
-    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType
     arrow = to_arrow_type(kind)
     place = F.arrow_udf(lambda t: pa.array(curve_keys(t, dims)), "long")
-    ordered = docs.withColumn("curve", place("text")).withColumn("tie", F.xxhash64("doc_id"))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = docs.withColumn("curve", place("text")).withColumn("tie", F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())))
+    n = partitions or -(-max(text_bytes(docs), 1) // partition_bytes)
     ordered = ordered.repartitionByRange(n, "curve", "tie").sortWithinPartitions("curve", "tie", "doc_id").select("doc_id", "text")
 
     def run(batches):
