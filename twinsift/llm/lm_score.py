@@ -1,7 +1,7 @@
 """Stupid-backoff language-model scores, computed relationally.
 
 A block of texts explodes into its n-grams of 1 to `order` words and asks, in one round of
-`naming`, with each distinct n-gram's 64-bit name and its count in the block; the count tables
+`naming`, with each distinct n-gram's 60-bit name and its count in the block; the count tables
 are partitioned by ranges of the hash, and a range adds up the counts of its names.  The corpus
 counts go back to the blocks, where they are joined to the exploded n-grams, less the
 document's own counts, and summed per document:
@@ -9,8 +9,9 @@ document's own counts, and summed per document:
     score(w | h) = c(h w) / c(h)  if c(h w) > 0,  else  backoff * score(w | shorter h)
 
 with c(w) / N for one word and 1 / (N + 1) for a word that no other document has.  Counts have
-64 bits throughout.  Names are not verified: at 10^13 different n-grams about one in two
-million shares its name with another, whose count it then adds to its own.
+64 bits throughout.  Names have 60 bits (each bit is an eighth of a byte of shuffle an n-gram)
+and are not verified: at 10^13 different n-grams about one in a hundred thousand shares its
+name with another, whose count it then adds to its own.
 
 Defined cases: null or empty text has 0 words and score 0; a text of one word has only its
 single-word score; with one document every word is unknown; rows that repeat a doc_id, or have
@@ -27,6 +28,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import kernels as K
 from . import naming as N
 
+SIXTY = np.uint64(2**64 - 16)
+
 
 def ngrams(buf, off, order):
     """(doc, place, [names of the n-grams that end at each word, n = 1..order])."""
@@ -40,7 +43,7 @@ def ngrams(buf, off, order):
         back[1:] = g[:-1]
         g = K.mix(back * np.uint64(3) + h + np.uint64(k + 1))  # names that cross texts are never read
         names.append(g)
-    return doc, place, names
+    return doc, place, [g & SIXTY for g in names]
 
 
 def table(place, names):
@@ -48,17 +51,35 @@ def table(place, names):
     return np.unique(np.concatenate([g[place >= k] for k, g in enumerate(names)]), return_counts=True)
 
 
-def document_scores(buf, off, order, keys, totals, n_words, backoff):
-    """(words, log score) of each text, given the corpus counts of the block's names."""
+def numbered(place, names):
+    """For each order the numbers of its n-grams among the block's sorted names; where a word
+    has no n-gram of that order, a number of its own, one past the last."""
+    here = [place >= k for k in range(len(names))]
+    flat = np.concatenate([g[ok] for g, ok in zip(names, here)])
+    order = np.argsort(flat)
+    new = np.ones(len(flat), dtype=bool)
+    new[1:] = flat[order][1:] != flat[order][:-1]
+    number = np.empty(len(flat), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    out, a, count = [], 0, int(new.sum())
+    for ok in here:
+        at = np.full(len(ok), count)
+        n = int(ok.sum())
+        at[ok] = number[a : a + n]
+        out.append(at)
+        a += n
+    return out, count
+
+
+def document_scores(buf, off, order, totals, n_words, backoff):
+    """(words, log score) of each text, given the corpus counts of the block's sorted names."""
     doc, place, names = ngrams(buf, off, order)
-    here = [place >= k for k in range(order)]
-    at = [np.searchsorted(keys, g) for g in names]
-    at = [np.where(ok, a, len(keys)) for a, ok in zip(at, here)]  # no n-gram: a name of its own
-    width, totals = len(keys) + 1, np.append(totals, 0)
+    at, count = numbered(place, names)
+    totals = np.append(totals, 0)
     other = []
-    for a, ok in zip(at, here):  # counts in the other documents
-        u, inv, own = np.unique(doc * width + a, return_inverse=True, return_counts=True)
-        c = np.where(ok, totals[a] - own[inv], 0) if len(a) else np.zeros(0, np.int64)
+    for k, a in enumerate(at):  # counts in the other documents
+        _, inv, own = np.unique(doc * (count + 1) + a, return_inverse=True, return_counts=True)
+        c = np.where(place >= k, totals[a] - own[inv], 0) if len(a) else np.zeros(0, np.int64)
         other.append(c)
     words = np.bincount(doc, minlength=len(off) - 1)
     left = (n_words - words)[doc]
@@ -80,7 +101,7 @@ def document_scores(buf, off, order, keys, totals, n_words, backoff):
 
 def summed(keys, counts):
     """For each entry of a range the corpus count of its name."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     new = np.ones(len(keys), dtype=bool)
     new[1:] = keys[order][1:] != keys[order][:-1]
     total = np.add.reduceat(counts[order], np.flatnonzero(new)) if len(keys) else counts
@@ -107,13 +128,12 @@ def backoff_scores(docs, order=3, backoff=0.4, text="text", key="doc_id", block_
         return pa.concat_tables(N.ask(n, ranges, *table(*ngrams(buf, off, order)[1:])) for n, _, buf, off in N.opened(t))
 
     def add(t):
-        return N.answer(t, 1, summed(*N.asked(t, "<i8")))
+        return N.answer(t, None, summed(*N.asked(t, "<i8")))
 
     def scores(t, told):
         out = [pa.table([pa.array([], x) for x in (id_type, pa.int64(), pa.float64())], ["doc_id", "n_words", "log_score"])]
         for n, ids, buf, off in N.opened(t):
-            keys, _ = table(*ngrams(buf, off, order)[1:])
-            words, log = document_scores(buf, off, order, keys, N.answers(told, n, 1, "<i8"), n_words, backoff)
+            words, log = document_scores(buf, off, order, N.answers(told, n, "<i8")[0], n_words, backoff)
             out.append(pa.table([ids.cast(id_type), pa.array(words, pa.int64()), pa.array(log, pa.float64())], ["doc_id", "n_words", "log_score"]))
         return pa.concat_tables(out)
 
