@@ -114,6 +114,33 @@ def hashes(buf, start, end, which=0, step=1 << 20):
     return out
 
 
+class Hasher:
+    """`hashes` of one buffer, whose prefix sums are kept for the next call while the buffer is
+    of a block's usual size."""
+
+    STEP, KEEP = 1 << 20, 16 << 20
+
+    def __init__(self, buf, reach):
+        """reach: no range is longer."""
+        self.buf, self.reach, self.known = buf, reach, {}
+
+    def _prefix(self, k, which):
+        if (k, which) in self.known:
+            return self.known[k, which]
+        pre = prefix(self.buf[k * self.STEP : (k + 1) * self.STEP + self.reach], which)
+        if len(self.buf) <= self.KEEP:
+            self.known[k, which] = pre
+        return pre
+
+    def __call__(self, start, end, which=0):
+        out = np.empty(len(start), dtype=np.uint64)
+        edge = np.searchsorted(start, np.arange(0, len(self.buf) + self.STEP, self.STEP))
+        for k, (i, j) in enumerate(zip(edge[:-1], edge[1:])):
+            if j > i:
+                out[i:j] = range_hash(self._prefix(k, which), start[i:j] - k * self.STEP, end[i:j] - k * self.STEP, which)
+        return out
+
+
 def words(buf, off):
     """(starts, ends, doc) of the maximal runs of other than white space."""
     n = len(buf)

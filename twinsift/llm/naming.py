@@ -29,7 +29,7 @@ BLOCK_BYTES = 8 << 20
 PER_RANGE = 2_000_000
 MOST_TASKS = 100_000
 ASKED = "range int, block long, n int, body binary"
-ANSWERED = "block long, round int, range int, n int, body binary"
+ANSWERED = "block long, range int, n int, body binary"
 
 
 def text_bytes(docs, text="text"):
@@ -135,25 +135,34 @@ def asked(t, *dtypes):
     return [np.concatenate(c) for c in cols]
 
 
-def answer(t, round_, values):
-    """Rows of ANSWERED: a value for each entry of `t`, in order."""
+def answer(t, keep, *values):
+    """Rows of ANSWERED: arrays with a value for each entry of `t`, in order; only the entries
+    of the mask `keep`, if it is given.  Arrays of names must be first and are kept sorted."""
     n = t["n"].to_numpy()
     ends = np.cumsum(n)
-    body = [K.pack(values[e - k : e]) for e, k in zip(ends.tolist(), n.tolist())]
-    return pa.table([t["block"], pa.array(np.full(t.num_rows, round_, np.int32)), t["range"], t["n"], pa.array(body, pa.binary())], ["block", "round", "range", "n", "body"])
+    kept, body = [], []
+    for e, k in zip(ends.tolist(), n.tolist()):
+        mine = slice(e - k, e)
+        parts = [v[mine] if keep is None else v[mine][keep[mine]] for v in values]
+        kept.append(len(parts[0]))
+        body.append(join_parts([K.pack_sorted(p) if p.dtype == np.uint64 else K.pack(p) for p in parts]))
+    return pa.table([t["block"], t["range"], pa.array(kept, pa.int32()), pa.array(body, pa.binary())], ["block", "range", "n", "body"])
 
 
-def answers(t, block, round_, dtype):
-    """The values that a block was given in a round, in the order of its names."""
-    mine = [(r, n, b) for k, q, r, n, b in zip(*(t[c].to_pylist() for c in ("block", "round", "range", "n", "body"))) if k == block and q == round_]
-    parts = [K.unpack(b, n, dtype) for _, n, b in sorted(mine, key=lambda x: x[0])]
-    return np.concatenate(parts) if parts else np.zeros(0, dtype)
+def answers(t, block, *dtypes):
+    """The arrays that a block was given, in the order of its names."""
+    mine = sorted((r, n, b) for k, r, n, b in zip(*(t[c].to_pylist() for c in ("block", "range", "n", "body"))) if k == block)
+    out = [[np.zeros(0, np.dtype(d))] for d in dtypes]
+    for _, n, body in mine:
+        for o, p, d in zip(out, split_parts(body, len(dtypes)), dtypes):
+            o.append(K.unpack_sorted(p, n) if np.dtype(d) == np.uint64 else K.unpack(p, n, d))
+    return [np.concatenate(o) for o in out]
 
 
 def repeated(names, seen):
     """For each entry whether its name stands for two places or more; `seen`: the entry's own
     block has it twice or more."""
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names)
     first = np.ones(len(names), dtype=bool)
     first[1:] = names[order][1:] != names[order][:-1]
     group = np.cumsum(first) - 1

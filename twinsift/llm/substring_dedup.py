@@ -30,6 +30,7 @@ an empty result.  A text of any length is read in steps of a megabyte.
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -67,19 +68,16 @@ class Cover:
         k = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
         return off[doc] + self.period * (k // len(self.places)) + self.places[k % len(self.places)], doc
 
-    def names(self, buf, place):
-        return K.hashes(buf, place, place + self.name)
-
-    def contexts(self, buf, off, place, doc):
+    def contexts(self, hashed, off, place, doc):
         """(64-bit names of the contexts, 32-bit names of each third; 0: no string there)."""
         a, b = np.maximum(place - self.period + 1, off[doc]), np.minimum(place + self.length, off[doc + 1])
-        whole = K.mix(K.hashes(buf, a, b) ^ K.mix((place - a).astype(np.uint64) * np.uint64(self.length + 1) + (b - place).astype(np.uint64)))
+        whole = K.mix(hashed(a, b) ^ K.mix((place - a).astype(np.uint64) * np.uint64(self.length + 1) + (b - place).astype(np.uint64)))
         parts = []
         for lo, hi in self.thirds:
             a, b = place - lo, place + self.length - hi
             fits = (a >= off[doc]) & (b <= off[doc + 1])
             h = np.zeros(len(place), dtype="<u4")
-            h[fits] = (K.hashes(buf, a[fits], b[fits], 1) >> np.uint64(32)).astype("<u4") | np.uint32(1)
+            h[fits] = (hashed(a[fits], b[fits]) >> np.uint64(32)).astype("<u4") | np.uint32(1)
             parts.append(h)
         return whole, parts
 
@@ -105,16 +103,22 @@ def spread(a, b):
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
 
 
-def distinct(*keys):
-    """Distinct rows of arrays in sorted order: (index of the first place of each, whether it
-    has more, the number of each row)."""
-    order = np.lexsort(keys[::-1])
+def distinct(one, two):
+    """Distinct pairs in sorted order: (index of the first place of each, whether it has more,
+    the number of each row)."""
+    order = np.argsort(one)
+    a, b = one[order], two[order]
     new = np.ones(len(order), dtype=bool)
-    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    new[1:] = a[1:] != a[:-1]
+    if (~new[1:] & (b[1:] != b[:-1])).any():
+        order = np.lexsort((two, one))
+        a, b = one[order], two[order]
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     at = np.flatnonzero(new)
     number = np.empty(len(order), dtype=np.int64)
     number[order] = np.cumsum(new) - 1
-    return order[at], np.diff(np.append(at, len(order))) > 1, number
+    first = np.minimum.reduceat(order, at) if len(at) else order
+    return first, np.diff(np.append(at, len(order))) > 1, number
 
 
 class Block:
@@ -122,25 +126,27 @@ class Block:
 
     def __init__(self, cover, number, buf, off):
         self.cover, self.number, self.buf, self.off = cover, number, buf, off
+        self.hashed = K.Hasher(buf, cover.length + cover.period)
         self.place, self.doc = cover.sample(off)
-        self.name = cover.names(buf, self.place)
+        self.name = self.hashed(self.place, self.place + cover.name)
 
     def first(self):
-        at, more, _ = distinct(self.name)
-        return self.name[at], more
-
-    def second(self, told):
-        _, _, number = distinct(self.name)
-        alive = N.answers(told, self.number, 1, np.uint8)[number] > 0
-        self.place, self.doc, self.name = self.place[alive], self.doc[alive], self.name[alive]
-        whole, parts = self.cover.contexts(self.buf, self.off, self.place, self.doc)
+        names, count = np.unique(self.name, return_counts=True)
+        return names, count > 1
+
+    def second(self, alive):
+        """Distinct (name, context) pairs of the names that the first round found repeated."""
+        at = np.minimum(np.searchsorted(alive, self.name), max(len(alive) - 1, 0))
+        on = alive[at] == self.name if len(alive) else np.zeros(len(self.name), bool)
+        self.place, self.doc, self.name = self.place[on], self.doc[on], self.name[on]
+        whole, parts = self.cover.contexts(self.hashed, self.off, self.place, self.doc)
         self.at, more, self.kind = distinct(self.name, whole)
         return self.name[self.at], whole[self.at], more, *(p[self.at] for p in parts)
 
     def third(self, told):
         """Sorted names of the strings that are still to be compared; settled intervals."""
-        self.second(told)
-        say = N.answers(told, self.number, 2, np.uint8)
+        alive, say = N.answers(told, self.number, "<u8", np.uint8)
+        self.second(alive)
         settled = say[self.kind] & SETTLED > 0
         cover = self.cover
         self.settled = merged(*cover.strings(self.off, self.place[settled], self.doc[settled], 0, cover.period - 1))
@@ -150,15 +156,15 @@ class Block:
             on.sort()
             runs.append(cover.strings(self.off, self.place[on], self.doc[on], lo, hi))
         self.start = spread(*merged(*(np.concatenate(x) for x in zip(*runs))))
-        one = K.hashes(self.buf, self.start, self.start + cover.length)
-        two = (K.hashes(self.buf, self.start, self.start + cover.length, 1) >> np.uint64(32)).astype("<u4")
+        one = self.hashed(self.start, self.start + cover.length)
+        two = (self.hashed(self.start, self.start + cover.length, 1) >> np.uint64(32)).astype("<u4")
         at, more, self.string = distinct(one, two)
         return one[at], two[at], more
 
-    def removed(self, told):
+    def removed(self, told, last):
         """(document, first, end) of the byte runs that go, disjoint and ascending."""
         self.third(told)
-        hit = self.start[N.answers(told, self.number, 3, np.uint8)[self.string] > 0]
+        hit = self.start[N.answers(last, self.number, np.uint8)[0][self.string] > 0]
         a, b = merged(np.concatenate([self.settled[0], hit]), np.concatenate([self.settled[1], hit]))
         doc = np.searchsorted(self.off, a, "right") - 1  # a run of starts stays in its document
         split = doc * (self.cover.length + 1)  # and so must the runs of bytes
@@ -205,30 +211,32 @@ def repeated_bytes(docs, kind, length):
         return pa.concat_tables(N.ask(n, samples, *Block(cover, n, buf, off).first()) for n, _, buf, off in N.opened(t))
 
     def second(t, told):
-        return pa.concat_tables([N.ask(0, 1, np.zeros(0, np.uint64)), *(N.ask(n, samples, *Block(cover, n, buf, off).second(told)) for n, _, buf, off in N.opened(t))])
+        return pa.concat_tables([N.ask(0, 1, np.zeros(0, np.uint64)), *(N.ask(n, samples, *Block(cover, n, buf, off).second(N.answers(told, n, "<u8")[0])) for n, _, buf, off in N.opened(t))])
 
     def third(t, told):
         return pa.concat_tables([N.ask(0, 1, np.zeros(0, np.uint64)), *(N.ask(n, strings, *Block(cover, n, buf, off).third(told)) for n, _, buf, off in N.opened(t))])
 
     def answer_first(t):
         keys, more = N.asked(t, bool)
-        return N.answer(t, 1, N.repeated(keys, more).astype(np.uint8))
+        again = N.repeated(keys, more)
+        return N.answer(t, again, keys)
 
     def answer_second(t):
         name, whole, more, *parts = N.asked(t, "<u8", bool, *["<u4"] * THIRDS)
-        return N.answer(t, 2, second_answers(name, whole, more, parts, np.repeat(t["block"].to_numpy(), t["n"].to_numpy())))
+        say = second_answers(name, whole, more, parts, np.repeat(t["block"].to_numpy(), t["n"].to_numpy()))
+        return N.answer(t, None, name, say)
 
     def answer_third(t):
         one, two, more = N.asked(t, "<u4", bool)
-        return N.answer(t, 3, N.repeated(K.mix(one ^ K.mix(two.astype(np.uint64))), more).astype(np.uint8))
+        return N.answer(t, None, N.repeated(K.mix(one ^ K.mix(two.astype(np.uint64))), more).astype(np.uint8))
 
     runs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def cut(t, told):
-        out = []
+        out, last = [], pc.equal(told["round"], 3)
         for n, ids, buf, off in N.opened(t):
-            doc, a, b = Block(cover, n, buf, off).removed(told)
+            doc, a, b = Block(cover, n, buf, off).removed(told.filter(pc.invert(last)), told.filter(last))
             edge = np.zeros(len(buf) + 1, dtype=np.int8)
             edge[a] += 1  # runs of one document never touch; of two they may
             edge[b] -= 1
@@ -240,11 +248,12 @@ def repeated_bytes(docs, kind, length):
             out.append(pa.table([ids.cast(id_type), kept, pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pairs).cast(runs), pa.array(np.diff(off))], ["doc_id", "kept", "removed", "n_bytes"]))
         return pa.concat_tables(out) if out else pa.table([pa.array([], x) for x in (id_type, pa.binary(), runs, pa.int64())], ["doc_id", "kept", "removed", "n_bytes"])
 
-    told = N.by_range(packed.groupBy("block").applyInArrow(first, N.ASKED), samples).applyInArrow(answer_first, N.ANSWERED)
-    for ask, answer, ranges in ((second, answer_second, samples), (third, answer_third, strings)):
-        asked = packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ask, N.ASKED)
-        told = told.unionByName(N.by_range(asked, ranges).applyInArrow(answer, N.ANSWERED))
-    return packed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(cut, f"doc_id {kind}, kept binary, removed array<struct<start:long,end:long>>, n_bytes long")
+    by_block = packed.groupBy("block")
+    one = N.by_range(by_block.applyInArrow(first, N.ASKED), samples).applyInArrow(answer_first, N.ANSWERED)
+    two = N.by_range(by_block.cogroup(one.groupBy("block")).applyInArrow(second, N.ASKED), samples).applyInArrow(answer_second, N.ANSWERED)
+    three = N.by_range(by_block.cogroup(two.groupBy("block")).applyInArrow(third, N.ASKED), strings).applyInArrow(answer_third, N.ANSWERED)
+    told = two.withColumn("round", F.lit(2)).unionByName(three.withColumn("round", F.lit(3)))
+    return by_block.cogroup(told.groupBy("block")).applyInArrow(cut, f"doc_id {kind}, kept binary, removed array<struct<start:long,end:long>>, n_bytes long")
 
 
 def remove_repeats(docs, length=200, text="text", key="doc_id"):
