@@ -1,23 +1,24 @@
 """N-gram Jaccard join by chosen paths.
 
-1. A text is the set of its runs of `width` words.  Equal sets are one class, so copies
-   cost one row.  A class has a sketch: 64 min-hash coordinates, whole for the first step
-   and four bits each after that.
-2. Chosen path: in each run a node samples each coordinate with chance 1 / (similarity *
-   64) and sends a class to the child (coordinate, value).  A pair at the wanted
-   similarity shares one child on average at every level.  A child of at most `small`
-   classes is searched by brute force over sketches; a larger one is split again, and
-   after `depth` levels searched anyhow, breadth first, so a dense group costs about its
-   size.  Runs are repeated until the chance to miss a pair is below 1 - `recall`.
-   Searches emit a star for each group found, never all pairs.
+1. A text is the set of its runs of `width` words.  Equal sets (by a 128-bit hash) are one
+   class, so copies cost one row.  A class has a sketch: 64 min-hash coordinates, whole for the
+   first step and four bits each after that.
+2. Chosen path: in each run a node samples each coordinate and sends a class to the child
+   (coordinate, value).  A pair at the wanted similarity shares one child on average at the
+   root, and two below it.  A child of at most `small` classes is searched by brute force over
+   sketches, and so is a larger one whose search ends within a budget in proportion to its size
+   (a dense group does, since what is found leaves the search); what the budget leaves is split
+   again.  Runs are repeated until the chance to miss a pair is below 1 - `recall`, whatever
+   the depth.  Searches emit a star for each group found, never all pairs.
 3. The forest's components are candidates.  Inside each, exact Jaccard similarities of the
    whole sets are computed in blocks of bounded size, which gives every link between two
    classes of a component, the number of links of each, and the final groups.
 
 Defined cases: null text is empty; texts without words are equal to each other and similar
 to nothing else; a text of fewer than `width` words is one shingle; rows that repeat a
-doc_id are documents of their own; ties don't matter (the class id is the least doc_id, null
-only if all are null); other columns are ignored; an empty table gives an empty result.
+doc_id, or have none, are documents of their own; ties don't matter (the class id is the least
+doc_id, null only if all are null); other columns, whatever their names, are ignored; an empty
+table gives an empty result.  A text is held whole, at some 20 bytes a byte at most.
 """
 
 import math
@@ -39,12 +40,17 @@ _ADD = _RND.integers(0, 2**32, T, dtype=np.uint32)
 _EQUAL = np.array([(b & 15 == 0) + (b >> 4 == 0) for b in range(256)], dtype=np.uint8)
 
 
-def runs_for(recall, similarity, depth):
-    """Runs after which a pair at the similarity was met with chance `recall`."""
+BELOW = 2.0  # children of a node that a pair at the similarity shares on average, below the root
+HOLD = 1 << 18  # rows of a node that are searched at once; a larger node is only split
+
+
+def runs_for(recall, similarity):
+    """Runs after which a pair at the similarity was met with chance `recall`, if every node
+    that it shares is split, to any depth."""
     met = 1.0
-    for _ in range(depth):
-        met = 1 - math.exp(-met)  # a pair shares Poisson(1) children of a node that it shares
-    return math.ceil(math.log(1 - recall) / math.log(1 - met))
+    for _ in range(200):
+        met = 1 - math.exp(-BELOW * met)
+    return math.ceil(math.log(1 - recall) / -met)
 
 
 def unique_shingles(column, width):
@@ -84,10 +90,11 @@ def _hash(*parts):
     return xxhash.xxh3_64_intdigest(b"|".join(str(p).encode() for p in parts))
 
 
-def sampled(node, similarity):
-    """Coordinates that a node samples; a function of the node alone."""
+def sampled(node, similarity, mean=1.0):
+    """Coordinates that a node samples, so that a pair at the similarity shares `mean`
+    children; a function of the node alone."""
     rng = np.random.Generator(np.random.PCG64(node))
-    return np.flatnonzero(rng.random(T) < 1 / (similarity * T))
+    return np.flatnonzero(rng.random(T) < mean / (similarity * T))
 
 
 def _child(node, t, values):
@@ -95,118 +102,125 @@ def _child(node, t, values):
     return K.mix(k ^ (values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
-def stars(names, sketch, least):
+def stars(names, sketch, least, budget=None):
     """(head, member) pairs of names that join what agrees in at least `least` coordinates,
-    through others or not; the head is the least name, so that runs repeat the same pairs."""
+    through others or not, with the least name first, so that runs repeat the same pairs; and
+    the rows that are still to be compared with each other when `budget` comparisons are spent.
+    A row that isn't among them was compared with all that are."""
     order = np.argsort(names, kind="stable")
-    names, sketch = names[order], sketch[order]
-    left, edges = np.arange(len(names)), []
+    left, edges, spent = order, [], 0
     while len(left):
         head, left = left[0], left[1:]
         todo = [head]
         while todo and len(left):
+            spent += len(left)
+            if budget is not None and spent > budget:
+                return edges, np.concatenate([left, np.array(todo)])
             same = _EQUAL[sketch[left] ^ sketch[todo.pop()]].sum(1, dtype=np.int64) >= least
             new, left = left[same], left[~same]
             todo.extend(new.tolist())
             edges.extend((names[head], names[j]) for j in new)
-    return edges
+    return edges, left
 
 
-def _buckets(small, last, similarity, least):
-    """Handles the rows of a level, sorted by node: edges of what is searched, children
-    of what is split.  A node that is split streams through, so it may have any size."""
-
-    def rows(src, dst, node, cid, sketch):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(node, pa.int64()), pa.array(cid, pa.int64()), pa.array(sketch, pa.binary())],
-            ["src", "dst", "node", "cid", "sketch"],
-        )
-
-    def search(part, src, dst):
-        cid = np.array([c for c, _ in part], dtype=np.int64)
-        m = np.frombuffer(b"".join(s for _, s in part), np.uint8).reshape(len(part), T // 2)
-        for a, b in stars(cid, m, least):
-            src.append(a)
-            dst.append(b)
-
-    def split(node, part, out):
-        node &= 2**64 - 1
-        cid = [c for c, _ in part]
-        m = np.frombuffer(b"".join(s for _, s in part), np.uint8).reshape(len(part), T // 2)
-        for t in sampled(node, similarity):
-            value = (m[:, t // 2] >> (4 * (t % 2))) & 15
-            kids = _child(np.uint64(node), int(t), value).view(np.int64)
-            out[0].extend(kids.tolist())
-            out[1].extend(cid)
-            out[2].extend(s for _, s in part)
+def fixed(column, width):
+    """A binary column of values of one width as a matrix."""
+    return K.flat(column)[0].reshape(len(column), width)
 
-    def run(batches):
-        now, part, big, src, dst, out = None, [], False, [], [], ([], [], [])
 
-        def close():
-            if big:
-                split(now, part, out)
-            elif len(part) > 1:
-                search(part, src, dst)
-
-        def flush():
-            e, k = len(src), len(out[0])
-            batch = rows(src + [None] * k, dst + [None] * k, [None] * e + out[0], [None] * e + out[1], [None] * e + out[2])
-            src.clear(), dst.clear(), [x.clear() for x in out]
-            return batch
+def _buckets(small, last, similarity, least):
+    """Handles the rows of a level, sorted by node: edges of what is searched, children of what
+    is split.  A node of more than HOLD rows streams through in parts, which are only split."""
+
+    def batch(edges, kids):
+        src, dst = (np.array([e[i] for e in edges], dtype=np.int64) for i in (0, 1))
+        node, cid, sketch = (np.concatenate([k[i] for k in kids]) if kids else np.zeros((0, T // 2) if i == 2 else 0, np.uint8 if i == 2 else np.int64) for i in range(3))
+        e, k = len(src), len(node)
+        none = lambda n, t: pa.nulls(n, t)
+        cells = pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer((np.arange(k + 1) * (T // 2)).astype("<i4").tobytes()), pa.py_buffer(sketch.tobytes())])
+        cols = [(pa.array(src), none(k, pa.int64())), (pa.array(dst), none(k, pa.int64())), (none(e, pa.int64()), pa.array(node)), (none(e, pa.int64()), pa.array(cid)), (none(e, pa.binary()), cells)]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in cols], ["src", "dst", "node", "cid", "sketch"])
+
+    def split(node, cid, sketch):
+        for t in sampled(int(node) & (2**64 - 1), similarity, BELOW):
+            value = (sketch[:, t // 2] >> np.uint8(4 * (t % 2))) & np.uint8(15)
+            yield _child(np.uint64(int(node) & (2**64 - 1)), int(t), value).view(np.int64), cid, sketch
 
+    def run(batches):
+        edges, kids, held = [], [], []
+
+        def close(node, more=False):
+            """Handles the rows held of a node; `more` of it are to come, or came before."""
+            nonlocal held
+            cid, sketch = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            held = []
+            if more:
+                kids.extend(split(node, cid, sketch))
+            elif len(cid) > 1:
+                free = last or len(cid) <= small
+                found, rest = stars(cid, sketch, least, None if free else 64 * len(cid))
+                edges.extend(found)
+                if len(rest):
+                    kids.extend(split(node, cid[rest], sketch[rest]))
+
+        now, big = None, False
         for b in batches:
-            for node, cid, s in zip(b["node"].to_pylist(), b["cid"].to_pylist(), b["sketch"].to_pylist()):
-                if node != now:
-                    close()
-                    now, part, big = node, [], False
-                part.append((cid, s))
-                if not last and len(part) > small:
+            node, cid, sketch = b["node"].to_numpy(), b["cid"].to_numpy(), fixed(b["sketch"], T // 2)
+            first = np.flatnonzero(np.diff(node)) + 1
+            for x, y in zip([0, *first], [*first, len(node)] if len(node) else []):
+                if held and node[x] != now:
+                    close(now, big)
+                if node[x] != now:
+                    now, big = node[x], False
+                held.append((cid[x:y], sketch[x:y]))
+                if not last and sum(len(h[0]) for h in held) > HOLD:
                     big = True
-                    split(now, part, out)
-                    part = []
-                if len(src) + len(out[0]) > 50_000:
-                    yield flush()
-        close()
-        yield flush()
+                    close(now, True)
+                if len(edges) + sum(len(k[0]) for k in kids) > 50_000:
+                    yield batch(edges, kids)
+                    edges, kids = [], []
+        if held:
+            close(now, big)
+        yield batch(edges, kids)
 
     return run
 
 
-def similar_groups(docs, text="text", key="doc_id", width=5, similarity=0.8, recall=0.999999, small=256, depth=2, block=256, prints=False):
+def similar_groups(docs, text="text", key="doc_id", width=5, similarity=0.8, recall=0.999999, small=256, depth=8, block=256, prints=False):
     """One row for each row of `docs`: key, class_id (least key of its group of linked
     documents), n_links (other documents at the similarity or more), set_size.  With `prints`
     also print and class_print, the hashes of its text and of the text of the row that
     class_id is from, which tell rows of one key apart."""
     spark = K.checkpoint_dir(docs.sparkSession)
-    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("print", F.xxhash64("text"))
+    docs = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("print", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sketch(batches):
         for b in K.parts(batches, "text"):
             sets = list(unique_shingles(b["text"], width))
-            cid = [xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 for s in sets]
+            name = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
+            halves = [pa.array([(n >> k) % 2**64 - 2**63 for n in name], pa.int64()) for k in (0, 64)]
             sig = signatures(sets)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["print"], pa.array(cid, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in sig], pa.binary())], ["doc_id", "print", "cid", "set_size", "sig"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["print"], *halves, pa.array([len(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in sig], pa.binary())], ["doc_id", "print", "low", "high", "set_size", "sig"])
 
-    seen = docs.mapInArrow(sketch, f"doc_id {kind}, print long, cid long, set_size long, sig binary").checkpoint()
+    seen = docs.mapInArrow(sketch, f"doc_id {kind}, print long, low long, high long, set_size long, sig binary").checkpoint()
     # the row that stands for a class; its text's hash tells rows of one key apart
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("first")
-    classes = seen.groupBy("cid").agg(first, F.count("*").alias("copies"), F.max("set_size").alias("set_size"))
-    classes = classes.select("cid", F.col("first.doc_id").alias("rep"), F.col("first.print").alias("rep_print"), "copies", "set_size")
-    runs = runs_for(recall, similarity, depth)
+    classes = seen.groupBy("low", "high").agg(first, F.count("*").alias("copies"), F.max("set_size").alias("set_size"), F.first("sig").alias("sig"))
+    classes = classes.select(F.monotonically_increasing_id().alias("cid"), "low", "high", F.col("first.doc_id").alias("rep"), F.col("first.print").alias("rep_print"), "copies", "set_size", "sig").checkpoint()
+    runs = runs_for(recall, similarity)
     roots = [_hash("run", r) for r in range(runs)]
     least = int(T * (similarity - 0.27))  # five standard deviations below
 
     def start(batches):
         for b in batches:
-            sig = np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint32).reshape(b.num_rows, T)
+            sig = fixed(b["sig"], 4 * T).view("<u4")
             thin = pa.array([r.tobytes() for r in narrow(sig)], pa.binary())
             for root in roots:
                 for t in sampled(root, similarity):
                     yield pa.RecordBatch.from_arrays([pa.array(_child(np.uint64(root), int(t), sig[:, t]).view(np.int64)), b["cid"], thin], ["node", "cid", "sketch"])
 
-    level = seen.filter("set_size > 0").select("cid", "sig").dropDuplicates(["cid"]).mapInArrow(start, "node long, cid long, sketch binary")
+    level = classes.filter("set_size > 0").select("cid", "sig").mapInArrow(start, "node long, cid long, sketch binary")
     edges = None
     for d in range(depth):
         work = _buckets(small, d == depth - 1, similarity, least)
@@ -220,14 +234,14 @@ def similar_groups(docs, text="text", key="doc_id", width=5, similarity=0.8, rec
     links, label = exact_links(docs, groups, classes, width, similarity, block)
     # a row for each class; settled tables, so that each join is of two plain exchanges
     root, n_links = F.coalesce("root", "cid").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    of = classes.join(links, "cid", "left").join(label, "cid", "left").select("cid", "rep", *["rep_print"] * prints, root, n_links).checkpoint()
+    of = classes.drop("sig").join(links, "cid", "left").join(label, "cid", "left").select("low", "high", "rep", *["rep_print"] * prints, root, n_links).checkpoint()
     if prints:
         least = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "rep_print")).alias("least")
         names = of.groupBy("root").agg(least).select("root", F.col("least.rep").alias("class_id"), F.col("least.rep_print").alias("class_print")).checkpoint()
     else:
         names = of.groupBy("root").agg(F.min("rep").alias("class_id")).checkpoint()
-    of = of.join(names, "root").select("cid", "class_id", *["class_print"] * prints, "n_links").checkpoint()
-    return seen.join(of, "cid").select(F.col("doc_id").alias(key), "class_id", "n_links", "set_size", *["print", "class_print"] * prints)
+    of = of.join(names, "root").select("low", "high", "class_id", *["class_print"] * prints, "n_links").checkpoint()
+    return seen.join(of, ["low", "high"]).select(F.col("doc_id").alias(key), "class_id", "n_links", "set_size", *["print", "class_print"] * prints)
 
 
 def exact_links(docs, groups, classes, width, similarity, block, block_tokens=500_000):
@@ -236,7 +250,7 @@ def exact_links(docs, groups, classes, width, similarity, block, block_tokens=50
     Members are dealt to blocks of about `block` classes and `block_tokens` shingles; a task
     compares two blocks, so no task holds more than two, whatever the component's size.
     """
-    member = groups.join(classes, F.col("node") == F.col("cid"))
+    member = groups.join(classes.select("cid", "rep", "rep_print", "copies", "set_size"), F.col("node") == F.col("cid"))
     size = member.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("set_size") / block_tokens)).cast("int").alias("blocks"))
     member = member.join(size, "component").select("cid", "component", "copies", "rep", "rep_print", "blocks")
 
