@@ -157,6 +157,54 @@ def test_jaccard_in_dense_groups_larger_than_a_block(spark):
         many.append(" ".join(w))
     docs = docs_of(spark, many + [f"other {i} text with some more words {i}" for i in range(50)])
     assert near_rows(jaccard_join.similar_groups(docs, small=16, block=20)) == brute_links(texts(docs))
+    assert near_rows(jaccard_join.similar_groups(docs, small=2, block=20)) == brute_links(texts(docs))
+
+
+def searched_levels(node, cid, sketch, similarity=0.8, small=64, depth=8):
+    """Edges of the searches below some nodes, a level at a time, without Spark."""
+    import pyarrow as pa
+
+    least, edges, rows = int(jaccard_join.T * (similarity - 0.27)), [], [len(cid)]
+    for d in range(depth):
+        order = np.argsort(node, kind="stable")
+        table = pa.record_batch([pa.array(node[order]), pa.array(cid[order]), pa.array([sketch[i].tobytes() for i in order], pa.binary())], ["node", "cid", "sketch"])
+        out = pa.Table.from_batches(jaccard_join._buckets(small, d == depth - 1, similarity, least)(table.slice(a, 7000) for a in range(0, len(table), 7000))).to_pylist()
+        edges += [(r["src"], r["dst"]) for r in out if r["src"] is not None]
+        kids = [r for r in out if r["node"] is not None]
+        rows.append(len(kids))
+        if not kids:
+            break
+        node, cid = (np.array([r[c] for r in kids], np.int64) for c in ("node", "cid"))
+        sketch = np.array([np.frombuffer(r["sketch"], np.uint8) for r in kids])
+    return edges, rows
+
+
+def test_large_nodes_of_unlike_texts_are_split_not_searched():
+    rng = np.random.default_rng(5)
+    sketch = rng.integers(0, 256, (20_000, jaccard_join.T // 2)).astype(np.uint8)
+    pairs = [(2 * i, 2 * i + 1) for i in range(300)]
+    for a, b in pairs:  # 52 of 64 coordinates agree
+        sketch[b] = sketch[a]
+        sketch[b][:6] ^= 0x11
+    start = time.time()
+    runs, found = jaccard_join.runs_for(0.999999, 0.8), set()
+    for run in range(runs):
+        edges, rows = searched_levels(np.full(20_000, run * 7919 + 1), np.arange(20_000), sketch)
+        found |= {tuple(sorted(map(int, e))) for e in edges}
+        if set(pairs) <= found:
+            break
+    assert set(pairs) <= found and (time.time() - start) / (run + 1) < 60
+    assert max(rows) < 20 * 20_000
+
+
+def test_dense_nodes_end_within_their_budget():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 256, jaccard_join.T // 2).astype(np.uint8)
+    sketch = np.tile(base, (30_000, 1))
+    sketch[np.arange(30_000), rng.integers(0, 32, 30_000)] ^= rng.integers(1, 256, 30_000).astype(np.uint8)
+    start = time.time()
+    edges, rows = searched_levels(np.zeros(30_000, np.int64), np.arange(30_000), sketch)
+    assert rows == [30_000, 0] and len(edges) == 29_999 and time.time() - start < 30
 
 
 def brute_exact(of):
