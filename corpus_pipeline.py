@@ -66,10 +66,17 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """The last stage's rows, read back from the shared folder; the other stages' files go as
+    soon as the next stage is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     K.checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = f"{folder}/{name}"
     return docs
