@@ -58,10 +58,10 @@ def picks(m):
     return m.groupBy("group_id").agg(F.max("pick").alias("pick"))
 
 
-@query(f"WITH {P} SELECT path FROM p WHERE regexp_matches(lower(path), '^/archive/[^/]+/[^/]+\\.html$')")
+@query(f"WITH {P} SELECT path FROM p WHERE regexp_matches(path, '^/archive/[^/]+/en/[^/]+\\.[hH][tT][mM][lL]$')")
 def scan_flat(spark, sf_dir):
-    """A flat scan of every host's folder; the folder is taken from the row."""
-    p = paths(spark, sf_dir).select("path", F.concat(F.lit(f"{ROOT}/"), "host").alias("folder"))
+    """A flat scan of every host's /en folder; the folder is taken from the row."""
+    p = paths(spark, sf_dir).select("path", F.concat(F.lit(f"{ROOT}/"), "host", F.lit("/en")).alias("folder"))
     return files.select_files(p, F.col("folder"), suffixes=(".html",)).select("path")
 
 
@@ -94,13 +94,26 @@ def display_path(spark, sf_dir):
     return paths(spark, sf_dir).select("path", scalars.display_path("path", ROOT, True).alias("shown"), scalars.display_path("path", ROOT, False).alias("name"))
 
 
-DEST = f"""WITH {P}, r AS (SELECT path, regexp_extract(path, '[^/]*$') AS name, row_number() OVER (PARTITION BY regexp_extract(path, '[^/]*$') ORDER BY path) - 1 AS n FROM p)
-    SELECT path, '/moved/' || CASE WHEN n = 0 THEN name ELSE regexp_replace(name, '(.)\\.[^./]+$', '\\1') || '_dup' || n || regexp_extract(name, '.(\\.[^./]+)$', 1) END AS to_path FROM r"""
+DUP = r"(.)(\.[^./]+)?$"
+DEST = f"""WITH RECURSIVE {P},
+    t AS (SELECT list(DISTINCT regexp_extract(path, '[^/]*$')) AS there FROM p WHERE page_id % 9 = 0),
+    q AS (SELECT CASE WHEN page_id % 4 = 0 THEN regexp_replace(path, '{DUP}', '\\1_dup' || (page_id % 3) || '\\2') ELSE path END AS path FROM p),
+    r AS (SELECT path, regexp_extract(path, '[^/]*$') AS name, regexp_replace(regexp_extract(path, '[^/]*$'), '(.)\\.[^./]+$', '\\1') AS stem,
+        regexp_extract(regexp_extract(path, '[^/]*$'), '.(\\.[^./]+)$', 1) AS ending, row_number() OVER (ORDER BY path) AS i FROM q),
+    walk AS (SELECT 0::BIGINT AS i, coalesce(there, []) AS taken, NULL::VARCHAR AS path, NULL::VARCHAR AS name FROM t
+        UNION ALL SELECT r.i, list_append(taken, n), r.path, n FROM (SELECT r.*, taken, list_filter(list_prepend(r.name, list_transform(range(1, len(taken) + 2), lambda k: stem || '_dup' || k || ending)), lambda x: NOT list_contains(taken, x))[1] AS n
+            FROM walk JOIN r ON r.i = walk.i + 1) r)
+    SELECT path, '/moved/' || name AS to_path FROM walk WHERE path IS NOT NULL"""
 
 
 @query(DEST)
 def dest_path(spark, sf_dir):
-    return manifest.destinations(paths(spark, sf_dir).select("path"), config.ScanConfig(ROOT, dest_dir="/moved"))
+    """Some names end like a duplicate's already, and some are taken at the destination."""
+    p = paths(spark, sf_dir)
+    there = p.filter("page_id % 9 = 0").select(F.concat(F.lit("/moved/"), scalars.file_name("path")).alias("path"))
+    ending = F.concat(F.lit("$1_dup"), (F.col("page_id") % 3).cast("string"), F.lit("$2"))
+    p = p.select(F.when(F.col("page_id") % 4 == 0, F.regexp_replace("path", F.lit(DUP), ending)).otherwise(F.col("path")).alias("path"))
+    return manifest.destinations(p, config.ScanConfig(ROOT, dest_dir="/moved"), there)
 
 
 # ---- caches -------------------------------------------------------------------------------
@@ -506,4 +519,15 @@ def flagship(spark, sf_dir):
     return scored.join(groups, "group_id").select("group_id", "member_idx", "doc_id", "source", F.round("quality_score", 6).alias("quality_score"), (F.col("member_idx") == F.col("suggested_idx")).alias("is_suggested"), "is_close_call")
 
 
-QUERIES["near_duplicate_review"] = flagship
+REVIEW = f"""WITH RECURSIVE {COMPS},
+    d AS (SELECT gi.*, documents.source, n_chars::DOUBLE AS n, y.quality::DOUBLE AS q, y.toxic::DOUBLE AS t FROM gi JOIN documents USING (doc_id) LEFT JOIN labels y USING (doc_id)),
+    z AS (SELECT group_id, min(n) AS nl, max(n) AS nh, min(q) AS ql, max(q) AS qh, count(q) = count(*) AS qo, min(t) AS tl, max(t) AS th, count(t) = count(*) AS t_ok FROM d GROUP BY group_id),
+    s AS (SELECT d.*, (0.0::DOUBLE + (CASE WHEN nh = nl THEN 0.0::DOUBLE ELSE (n - nl) / (nh - nl) END) * 0.5::DOUBLE
+      + (CASE WHEN NOT qo THEN 0.0::DOUBLE ELSE (CASE WHEN qh = ql THEN 0.0::DOUBLE ELSE (q - ql) / (qh - ql) END) * 0.3::DOUBLE END)
+      + (CASE WHEN NOT t_ok THEN 0.0::DOUBLE ELSE (1 - (CASE WHEN th = tl THEN 0.0::DOUBLE ELSE (t - tl) / (th - tl) END)) * 0.2::DOUBLE END))
+      / (0.5::DOUBLE + (CASE WHEN qo THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END) + (CASE WHEN t_ok THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END)) AS score FROM d JOIN z USING (group_id)),
+    o AS (SELECT *, row_number() OVER best AS rk, lead(score) OVER best AS next FROM s WINDOW best AS (PARTITION BY group_id ORDER BY score DESC, member_idx))
+    SELECT group_id, member_idx, doc_id, source, round(score, 6) AS quality_score, rk = 1 AS is_suggested,
+      coalesce(max(CASE WHEN rk = 1 THEN score - next END) OVER (PARTITION BY group_id) < 0.08::DOUBLE, false) AS is_close_call FROM o"""
+
+QUERIES["near_duplicate_review"], ORACLES["near_duplicate_review"] = flagship, REVIEW
