@@ -11,8 +11,9 @@
    again.  Runs are repeated until the chance to miss a pair is below 1 - `recall`, whatever
    the depth.  Searches emit a star for each group found, never all pairs.
 3. The forest's components are candidates.  Inside each, exact Jaccard similarities of the
-   whole sets are computed in blocks of bounded size, which gives every link between two
-   classes of a component, the number of links of each, and the final groups.
+   whole sets give every link between two classes of a component, the number of links of each,
+   and the final groups.  In a large component most pairs follow from what each class shares
+   with one of them; the rest are compared in blocks of bounded size.
 
 Defined cases: null text is empty; texts without words are equal to each other and similar
 to nothing else; a text of fewer than `width` words is one shingle; rows that repeat a
@@ -247,30 +248,52 @@ def similar_groups(docs, text="text", key="doc_id", width=5, similarity=0.8, rec
 def exact_links(docs, groups, classes, width, similarity, block, block_tokens=500_000):
     """(cid, links) and (cid, root) from the exact similarities inside each component.
 
-    Members are dealt to blocks of about `block` classes and `block_tokens` shingles; a task
-    compares two blocks, so no task holds more than two, whatever the component's size.
+    A component of at most `block` classes and `block_tokens` shingles is one task's matrix.
+    In a larger one each class is measured against one of them, the pivot: how many of the
+    pivot's shingles it lacks and how many it has.  That alone decides most pairs of a dense
+    group, and for all classes of the same measures at once; the others are compared in cells
+    of two blocks, and blocks are of neighbouring measures, so cells without an undecided pair
+    are left out.  No task holds more than two blocks, whatever the component's size.
     """
     member = groups.join(classes.select("cid", "rep", "rep_print", "copies", "set_size"), F.col("node") == F.col("cid"))
-    size = member.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("set_size") / block_tokens)).cast("int").alias("blocks"))
+    size = member.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("set_size") / block_tokens)).alias("blocks"))
     member = member.join(size, "component").select("cid", "component", "copies", "rep", "rep_print", "blocks")
 
     def load(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["cid"], b["component"], b["copies"], b["blocks"], pa.array([s.tobytes() for s in unique_shingles(b["text"], width)], pa.binary())], ["cid", "component", "copies", "blocks", "set"])
 
-    held = docs.join(member, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("print") == F.col("rep_print"))).select("cid", "component", "copies", "blocks", "text").mapInArrow(load, "cid long, component long, copies long, blocks int, set binary")
-    held = held.withColumn("own", F.pmod(F.xxhash64("cid"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = held.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "copies", "blocks", "set")
+    held = docs.join(member, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("print") == F.col("rep_print"))).select("cid", "component", "copies", "blocks", "text")
+    held = held.mapInArrow(load, "cid long, component long, copies long, blocks long, set binary").checkpoint()
+    none = F.lit(0)
+    found = compared(held.filter("blocks = 1").select("component", none.alias("i"), none.alias("j"), none.alias("own"), "cid", "copies", "set", *[none.alias(c) for c in ("pivot", "lacks", "size")]), similarity, block).checkpoint()
+    links, label = found.select("cid", "links"), found.select("cid", "root")
+    large = held.filter("blocks > 1")
+    if not large.isEmpty():
+        more, edges = large_links(large.drop("blocks"), similarity, block, block_tokens)
+        links = links.unionByName(more)
+        label = label.unionByName(connected_components(edges).select(F.col("node").alias("cid"), F.col("component").alias("root")))
+    return links.groupBy("cid").agg(F.sum("links").alias("links")), label
+
+
+def compared(cells, similarity, block):
+    """Exact links inside cells (component, i, j): rows cid, links, root, one a class and cell;
+    pairs that their measures decide (where there is a pivot) are left out."""
 
     def compare(batches):
-        for (component, i, j), t in K.streamed_groups(batches, "component", "i", "j"):
+        for (_, i, j), t in K.streamed_groups(batches, "component", "i", "j"):
             cid, first = np.unique(t["cid"].to_numpy(), return_index=True)  # a repeated row's class once
             t = t.take(pa.array(first))
-            copies, own = t["copies"].to_numpy(), t["own"].to_numpy()
-            sets = [np.frombuffer(s, "<u8") for s in t["set"].to_pylist()]
-            ok = similar(sets, similarity)
+            copies, own, pivot = (t[c].to_numpy() for c in ("copies", "own", "pivot"))
+            ok = similar([np.frombuffer(s, "<u8") for s in t["set"].to_pylist()], similarity)
             if i != j:
                 ok &= own[:, None] != own[None, :]
+            if pivot[0]:
+                lacks, size = t["lacks"].to_numpy(), t["size"].to_numpy()
+                step = coarse(pivot[0])
+                for x in range(len(cid)):
+                    yes, no = decided(pivot[0], step, lacks[x] // step, size[x] // step, lacks // step, size // step, similarity)
+                    ok[x] &= ~(yes | no)
             root = np.arange(len(cid))
             for a in range(len(cid)):  # breadth first over the links of the cell
                 if root[a] == a:
@@ -280,13 +303,109 @@ def exact_links(docs, groups, classes, width, similarity, block, block_tokens=50
                         new = np.flatnonzero(ok[x] & (root > a))
                         root[new] = a
                         todo.extend(new.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(ok @ copies), pa.array(cid[root]), pa.array(t["blocks"].to_numpy())], ["cid", "links", "root", "blocks"])
-
-    found = cells.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(compare, "cid long, links long, root long, blocks int").checkpoint()
-    links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    large = connected_components(found.filter("blocks > 1").select(F.col("cid").alias("src"), F.col("root").alias("dst")))
-    label = found.filter("blocks = 1").select("cid", "root").unionByName(large.select(F.col("node").alias("cid"), F.col("component").alias("root")))
-    return links, label
+            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(ok @ copies), pa.array(cid[root])], ["cid", "links", "root"])
+
+    return cells.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(compare, "cid long, links long, root long")
+
+
+def coarse(pivot):
+    """Step of the measures against a pivot of so many shingles, so that few differ."""
+    return max(1, int(pivot) // 64)
+
+
+def decided(pivot, step, lacks, size, lacks2, size2, similarity):
+    """(surely similar, surely not) of classes with coarse measures (lacks, size) and others."""
+    most = step - 1
+    m1, m2, s1, s2 = lacks * step, lacks2 * step, size * step, size2 * step
+    low = np.maximum(pivot - (m1 + most) - (m2 + most), 0)  # shingles of the pivot that both have
+    yes = (low > 0) & (low >= similarity * (s1 + s2 + 2 * most - low) + 1e-9)
+    extra = lambda m, s: np.maximum(s + most - pivot + m + most, 0)
+    high = np.minimum(np.maximum(pivot - np.maximum(m1, m2), 0) + np.minimum(extra(m1, s1), extra(m2, s2)), np.minimum(s1, s2) + most)
+    no = high < similarity * (s1 + s2 - high) - 1e-6
+    return yes, no
+
+
+def decide(t, similarity, block, tokens):
+    """For the measures of one component: what each is surely linked to, and the blocks and
+    cells of the rest."""
+    order = np.lexsort((t["size"].to_numpy(), t["lacks"].to_numpy()))
+    t = t.take(pa.array(order))
+    lacks, size, n, copies, rep = (t[c].to_numpy() for c in ("lacks", "size", "n", "copies", "rep"))
+    pivot = t["pivot"][0].as_py()
+    step, p = coarse(pivot), len(t)
+    room = max(1, min(block, int(tokens // max(1, size.max() * step))))
+    links, open_, root = np.zeros(p, np.int64), np.zeros(p, bool), np.full(p, -1)
+    sure = lambda x: decided(pivot, step, lacks[x], size[x], lacks, size, similarity)
+    own = np.zeros(p, bool)
+    for x in range(p):
+        yes, no = sure(x)
+        links[x], own[x] = copies[yes].sum(), yes[x]
+        rest = ~(yes | no)
+        rest[x] &= n[x] > 1
+        open_[x] = rest.any()
+    for a in range(p):  # measures that sure links join
+        if root[a] < 0:
+            root[a], todo = a, [a]
+            while todo:
+                new = np.flatnonzero(sure(todo.pop())[0] & (root < 0))
+                root[new] = a
+                todo.extend(new.tolist())
+    # blocks of neighbouring measures; one that is alone in its root and not its own links stays apart
+    start = np.cumsum(n * open_) - n * open_
+    first, last = start // room, (start + np.maximum(n, 1) - 1) // room
+    partners = {}
+    for x in np.flatnonzero(open_):
+        yes, no = sure(x)
+        rest = np.flatnonzero(~(yes | no) & open_)
+        if n[x] < 2:
+            rest = rest[rest != x]
+        mine = set(np.concatenate([first[rest], last[rest]]).tolist())
+        for y in rest[last[rest] > first[rest] + 1]:
+            mine.update(range(int(first[y]), int(last[y])))
+        for i in range(first[x], last[x] + 1):
+            partners.setdefault(int(i), set()).update(mine)
+    joined = np.array([own[x] and n[x] > 1 or (root == root[x]).sum() > 1 for x in range(p)], dtype=bool)
+    component = t["component"][0].as_py()
+    rows = [(component, int(lacks[x]), int(size[x]), int(links[x]), bool(own[x]), int(rep[root[x]]) if joined[x] else None, int(first[x]) if open_[x] else None, int(last[x]), None, None) for x in range(p)]
+    rows += [(component, None, None, None, None, None, None, None, i, sorted(js)) for i, js in partners.items()]
+    kinds = [pa.int64()] * 4 + [pa.bool_()] + [pa.int64()] * 4 + [pa.list_(pa.int64())]
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [c.split(" ")[0] for c in DECIDED.split(", ")])
+
+
+DECIDED = "component long, lacks long, size long, sure long, own boolean, label long, first long, last long, block long, partners array<long>"
+
+
+def large_links(large, similarity, block, tokens):
+    """(cid, links) and edges src, dst of components that are more than one block; `large`:
+    component, cid, copies, set."""
+    pivots = large.filter("cid = component").dropDuplicates(["component"]).select(F.col("component").alias("of"), F.col("set").alias("pivot_set")).checkpoint()
+
+    def measure(batches):
+        for b in batches:
+            sets, pivots = ([np.frombuffer(s, "<u8") for s in b[c].to_pylist()] for c in ("set", "pivot_set"))
+            lacks = [len(p) - len(np.intersect1d(s, p, assume_unique=True)) for s, p in zip(sets, pivots)]
+            yield pa.RecordBatch.from_arrays([b["cid"], b["component"], b["copies"], pa.array([len(p) for p in pivots], pa.int64()), pa.array(lacks, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["cid", "component", "copies", "pivot", "lacks", "size"])
+
+    measured = large.join(pivots, F.col("component") == F.col("of")).mapInArrow(measure, "cid long, component long, copies long, pivot long, lacks long, size long")
+    measured = measured.dropDuplicates(["cid"]).checkpoint()
+    step = F.greatest(F.lit(1), F.floor(F.col("pivot") / 64)).cast("long")
+    rough = measured.withColumn("l", F.floor(F.col("lacks") / step)).withColumn("s", F.floor(F.col("size") / step))
+    profiles = rough.groupBy("component", "pivot", F.col("l").alias("lacks"), F.col("s").alias("size")).agg(F.count("*").alias("n"), F.sum("copies").alias("copies"), F.min("cid").alias("rep"))
+    told = profiles.groupBy("component").applyInArrow(lambda t: decide(t, similarity, block, tokens), DECIDED).checkpoint()
+    of = told.filter("block is null").select(F.col("component").alias("c"), F.col("lacks").alias("tl"), F.col("size").alias("ts"), "sure", "own", "label", "first", "last")
+    known = rough.join(of, (F.col("component") == F.col("c")) & (F.col("l") == F.col("tl")) & (F.col("s") == F.col("ts"))).drop("c", "tl", "ts", "l", "s").checkpoint()
+    links = known.select("cid", (F.col("sure") - F.when(F.col("own"), F.col("copies")).otherwise(F.lit(0))).alias("links"))
+    edges = known.filter("label is not null").select(F.col("cid").alias("src"), F.col("label").alias("dst"))
+    open_ = known.filter("first is not null").withColumn("own", F.col("first") + F.pmod(F.xxhash64("cid"), F.col("last") - F.col("first") + 1)).select("cid", "component", "copies", "pivot", "lacks", "size", "own")
+    if not open_.isEmpty():
+        cells = told.filter("block is not null").select(F.col("component").alias("c"), F.col("block").alias("b"), F.explode("partners").alias("other"))
+        open_ = open_.join(cells, (F.col("component") == F.col("c")) & (F.col("own") == F.col("b"))).drop("c", "b")
+        open_ = open_.join(large.select(F.col("cid").alias("id"), "set"), F.col("cid") == F.col("id"))
+        cells = open_.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "copies", "set", "pivot", "lacks", "size")
+        found = compared(cells, similarity, block).checkpoint()
+        links = links.unionByName(found.select("cid", "links"))
+        edges = edges.unionByName(found.select(F.col("cid").alias("src"), F.col("root").alias("dst")))
+    return links, edges.unionByName(known.select(F.col("cid").alias("src"), F.col("cid").alias("dst")))
 
 
 def similar(sets, similarity):
@@ -301,7 +420,7 @@ def similar(sets, similarity):
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
     inter = np.zeros((n, n), dtype=np.float64)
-    step = 4096
+    step = min(4096, int(col[-1]) + 1) if len(col) else 1
     for a in range(0, int(col[-1]) + 1 if len(col) else 0, step):
         lo, hi = np.searchsorted(col, [a, a + step])
         m = np.zeros((n, step), dtype=np.float32)

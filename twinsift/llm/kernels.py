@@ -199,22 +199,23 @@ def shingles(buf, off, width=5):
 
 
 def streamed_groups(batches, *keys):
-    """Runs of equal keys in a sorted stream of record batches, as (key, table)."""
+    """Runs of equal whole-number keys in a sorted stream of record batches, as (key, table)."""
     held, now = [], None
     for b in batches:
-        if not b.num_rows:
-            continue
-        cols = [b[k].to_pylist() for k in keys]
-        rows = list(zip(*cols))
-        a = 0
-        for i in range(1, len(rows) + 1):
-            if i == len(rows) or rows[i] != rows[a]:
-                if held and rows[a] != now:
-                    yield now, pa.Table.from_batches(held)
-                    held = []
-                now = rows[a]
-                held.append(b.slice(a, i - a))
-                a = i
+        cols = [b[k].to_numpy() for k in keys]
+        new = np.zeros(b.num_rows, dtype=bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        edges = [0, *np.flatnonzero(new).tolist(), b.num_rows]
+        for x, y in zip(edges[:-1], edges[1:]):
+            if x == y:
+                continue
+            key = tuple(int(c[x]) for c in cols)
+            if held and key != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(b.slice(x, y - x))
     if held:
         yield now, pa.Table.from_batches(held)
 
