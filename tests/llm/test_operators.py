@@ -160,6 +160,40 @@ def test_jaccard_in_dense_groups_larger_than_a_block(spark):
     assert near_rows(jaccard_join.similar_groups(docs, small=2, block=20)) == brute_links(texts(docs))
 
 
+def test_measures_against_a_pivot_decide_rightly():
+    rng, counts = random.Random(4), Counter()
+    for n, step in ((40, 1), (200, 3)):
+        base = list(range(n))
+        sets = [set(base)]
+        for i in range(120):
+            k = rng.randint(0, n // 4)
+            sets.append(set(rng.sample(base, n - k)) | {10_000 + rng.randrange(60) for _ in range(rng.randint(0, n // 5))})
+        m = [(len(sets[0] - s) // step, len(s) // step) for s in sets]
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                yes, no = jaccard_join.decided(n, step, *m[i], np.array([m[j][0]]), np.array([m[j][1]]), 0.8)
+                real = 10 * len(a & b) >= 8 * len(a | b)
+                counts["yes" if yes[0] else "no" if no[0] else "open"] += 1
+                assert not (yes[0] and not real) and not (no[0] and real)
+    assert min(counts.values()) > 100 and len(counts) == 3
+
+
+def test_jaccard_of_large_components(spark):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+    many = []
+    for g in range(3):  # chains: each text changes the one before
+        w = [f"{g}{x}" for x in base]
+        for _ in range(60):
+            for _ in range(rng.randint(1, 3)):
+                w[rng.randrange(len(w))] = f"v{rng.randrange(40)}"
+            many.append(" ".join(w[: rng.randint(130, 150)]))
+    many += [many[5]] * 4 + [" ".join(base[:60])] * 2
+    docs = docs_of(spark, many)
+    assert near_rows(jaccard_join.similar_groups(docs, block=7)) == brute_links(texts(docs))
+    assert near_rows(jaccard_join.similar_groups(docs, block=1)) == brute_links(texts(docs))
+
+
 def searched_levels(node, cid, sketch, similarity=0.8, small=64, depth=8):
     """Edges of the searches below some nodes, a level at a time, without Spark."""
     import pyarrow as pa
