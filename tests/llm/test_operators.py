@@ -751,6 +751,32 @@ def test_pipeline_against_brute_force(spark):
     assert all(abs(taken[s] - goal[s]) <= max(words[k] for k in words if source[k] == s) for s in goal)
 
 
+def test_texts_of_many_megabytes(spark):
+    rng = np.random.default_rng(8)
+    pool = np.array([f"{i:x}" + "abcdefghij"[i % 10] for i in range(60_000)])
+    long = " ".join(pool[rng.integers(0, len(pool), 900_000)].tolist())
+    assert len(long) > 4_500_000
+    rows = [(1, long, "s"), (2, long.replace(" ", "\n"), "s"), (3, long[: len(long) // 2 * 2 - 60_000] + " other end", "t"), (4, "short text", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2)
+    words = {i: len(t.split()) for i, t, _ in rows}
+    removed = {r["doc_id"]: (r["n_bytes"], r["kept"], [tuple(x) for x in r["removed"]]) for r in substring_dedup.remove_repeats(docs).collect()}
+    shared = len(rows[2][1]) - len(" other end")
+    assert removed[1][2] == removed[3][2] == [(0, shared)] and removed[1][1] == long[shared:].encode() and removed[2][2] == removed[4][2] == []
+    assert {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact_dedup.exact_groups(docs).collect()} == {1: (1, True), 2: (1, False), 3: (3, True), 4: (4, True)}
+    assert near_rows(jaccard_join.similar_groups(docs)) == {1: (1, 2), 2: (1, 2), 3: (1, 2), 4: (4, 0)}
+    assert {r["doc_id"]: r["n_words"] for r in lm_score.backoff_scores(docs).collect()} == words
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(docs).collect()} == words
+    encode = T.encoder(T.default_vocabulary())
+    want = {i: len(T.document_ids(t, encode, 1)) for i, t, _ in rows}
+    for pack in (bfd_packing.pack, hilbert_packing.pack):
+        got = Counter()
+        for r in T.pieces_of(pack(docs)).select("doc_id", "length").collect():
+            got[r["doc_id"]] += r["length"]
+        assert got == want
+    scores = {r["doc_id"]: r["score"] for r in quality.classify(docs, spark.createDataFrame([(1, 1), (4, 0)], "doc_id long, quality int")).collect()}
+    assert len(scores) == 4 and all(0 <= x <= 1 for x in scores.values())
+
+
 CLASHING = ["chosen_id", "key", "copies", "copy", "row", "print", "rep", "cid", "fp", "curve", "tie", "x", "a.b"]
 
 
