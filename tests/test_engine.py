@@ -335,6 +335,12 @@ def test_review_session(tmp_path):
     s.status = "scanning"
     with pytest.raises(RuntimeError):
         s.skip(0)
+    s.require(None)
+    guarded = review.Session(config.ScanConfig(str(tmp_path)), manifest.Mover(), token="key")
+    guarded.require("key")
+    for bad in (None, "", "keys"):
+        with pytest.raises(PermissionError):
+            guarded.require(bad)
 
 
 def test_best_cells_need_two_numbers(spark):

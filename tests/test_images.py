@@ -211,6 +211,9 @@ def test_command_line(spark, album, capsys, monkeypatch):
     assert (album / "big.png").exists() and (album / "_duplicates" / "sub" / "small.PNG").exists() and (album / "_duplicates" / "copy.png").exists()
     assert cli.main(["compare", str(album / "big.png"), str(album / "other.png")]) == 0
     assert "400x300" in capsys.readouterr().out
+    for bad in ("missing.png", "broken.png"):
+        assert cli.main(["compare", str(album / "big.png"), str(album / bad)]) == 1
+        assert bad in capsys.readouterr().err
     with pytest.raises(SystemExit):
         cli.main(["scan", str(album), "--threshold", "65"])
 

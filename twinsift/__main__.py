@@ -47,7 +47,16 @@ def scan(a):
 def compare(a):
     spark = session()
     pair = [os.path.abspath(p) for p in (a.a, a.b)]
-    rows = spark.read.format("image").load(pair).select(files.decoded_uri("image.origin").alias("path"), I.image_metrics().alias("m")).select("path", "m.*")
+    there = [files.literal(p) for p in pair if os.path.isfile(p)]
+    if len(there) < 2:
+        print(f"no such file: {', '.join(p for p in pair if not os.path.isfile(p))}", file=sys.stderr)
+        return 1
+    rows = spark.read.format("image").load(there).select(files.decoded_uri("image.origin").alias("path"), I.image_metrics().alias("m"))
+    read = {r["path"] for r in rows.filter("m is not null").select("path").collect()}
+    if missing := [p for p in pair if p not in read]:
+        print(f"not a readable image: {', '.join(missing)}", file=sys.stderr)
+        return 1
+    rows = rows.select("path", "m.*")
     cells = [c for c in views.image_cells() if c[0] not in ("File size", "Quality score (higher better)")]
     for r in views.pairwise_report(rows, "path", *pair, cells).orderBy("row_no").collect():
         print(f"{r['label']:36s} {r['value_a'] or 'n/a':>18s} {r['value_b'] or 'n/a':>18s}")

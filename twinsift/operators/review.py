@@ -1,5 +1,7 @@
 """The review state machine over groups, as a relation and as a driver-side session."""
 
+import hmac
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +40,16 @@ class Session:
     `generation` changes with each successful rescan; a failed one keeps the old data.
     """
 
-    def __init__(self, cfg: config.ScanConfig, mover):
-        self.cfg, self.mover = cfg, mover
+    def __init__(self, cfg: config.ScanConfig, mover, token=None):
+        self.cfg, self.mover, self._token = cfg, mover, token
         self.generation, self.status, self.error = 0, "idle", None
         self.groups, self.state = [], {}
 
+    def require(self, token):
+        """Refuses a caller without the session's token, if it has one."""
+        if self._token is not None and not hmac.compare_digest(self._token.encode(), (token or "").encode()):
+            raise PermissionError("missing or invalid token")
+
     def rescan(self, build):
         """build() -> [{'paths': [...], 'suggested': i, 'moves': {pick: [(from, to)]}}]"""
         if self.status == "scanning":

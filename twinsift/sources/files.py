@@ -39,6 +39,11 @@ def plain(path) -> Column:
     return F.regexp_replace(col(path), "^file:/+", "/")
 
 
+def literal(path: str) -> str:
+    """A path to load by name: its glob characters mean themselves."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 def decoded_uri(uri) -> Column:
     """A file: URI as the image source gives it (encoded) as a path; a plus sign is itself."""
     return F.url_decode(F.replace(plain(uri), F.lit("+"), F.lit("%2B")))
@@ -76,8 +81,7 @@ def images(spark, cfg: config.ScanConfig, wanted: DataFrame, few=FEW_PATHS) -> D
         return spark.createDataFrame([], f"path string, image {I.IMAGE_TYPE}")
     source = spark.read.format("image")
     if len(paths) <= few:
-        # glob characters in names are literal
-        loaded = source.load([re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in paths])
+        loaded = source.load([literal(p) for p in paths])
         rows = loaded.select(decoded_uri("image.origin").alias("path"), "image")
     else:
         loaded = source.option("recursiveFileLookup", str(cfg.recursive).lower()).load(cfg.directory)
