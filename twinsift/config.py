@@ -11,7 +11,6 @@ PREVIEW_MAX_SIDE = 800
 SPECTRUM_MAX_SIDE = 2048
 SHARPNESS_SIDE = 512
 BLOCK = 8
-STATUSES = ("pending", "confirmed", "skipped")
 
 # Fixed values.  metric: (weight, digits shown, description); a negative weight: lower is better.
 IMAGE_METRICS = {
