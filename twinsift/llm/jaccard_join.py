@@ -42,6 +42,7 @@ _EQUAL = np.array([(b & 15 == 0) + (b >> 4 == 0) for b in range(256)], dtype=np.
 
 
 BELOW = 2.0  # children of a node that a pair at the similarity shares on average, below the root
+BUDGET = 1024  # comparisons of sketches for each row of a node
 HOLD = 1 << 18  # rows of a node that are searched at once; a larger node is only split
 
 
@@ -159,7 +160,7 @@ def _buckets(small, last, similarity, least):
                 kids.extend(split(node, cid, sketch))
             elif len(cid) > 1:
                 free = last or len(cid) <= small
-                found, rest = stars(cid, sketch, least, None if free else 64 * len(cid))
+                found, rest = stars(cid, sketch, least, None if free else BUDGET * len(cid))
                 edges.extend(found)
                 if len(rest):
                     kids.extend(split(node, cid[rest], sketch[rest]))
