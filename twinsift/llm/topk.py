@@ -117,9 +117,17 @@ def search_block(row, q, dq, least, cid, crow, c, dc, k, chunk=256):
     with np.errstate(over="ignore"):
         nq, nc = (q * q).sum(1), (c * c).sum(1)
     found, evaluated = [], 0
+    by_pivot, gap = np.ascontiguousarray(dc.T), np.empty(len(c))
+    finite = np.isfinite(dc).all() and np.isfinite(dq).all()
     tie = np.where(np.isnan(cid), np.inf, cid)
     for i in range(len(q)):
-        bound = upper(nq[i], nc, lower(dq[i], dc, dc))
+        if finite:
+            low = np.zeros(len(c))
+            for p, d in zip(by_pivot, dq[i]):
+                np.maximum(low, np.abs(np.subtract(p, d, out=gap), out=gap), out=low)
+        else:
+            low = lower(dq[i], dc, dc)
+        bound = upper(nq[i], nc, low)
         bound[crow == row[i]] = -np.inf
         left = np.flatnonzero(bound >= least[i])
         best, score, size = np.zeros(0, np.int64), np.zeros(0, np.int64), chunk
