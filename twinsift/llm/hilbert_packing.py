@@ -2,12 +2,13 @@
 
 A document's words are hashed into a signed vector of `buckets` counts, which is scaled
 to unit length, projected by a fixed random matrix to a few dimensions and turned into
-its place on a Hilbert curve.  Documents are range-partitioned and sorted by that key
-(ties, such as thousands of equal texts, by a hash of the key column, and of the place in the
-input where it is null, so a hot key spreads over partitions) and laid out one after another; each partition is cut every
+its place on a Hilbert curve.  A histogram of bytes over the curve's cells (65,536 of them)
+cuts it into partitions of about equal bytes; a cell that alone has more than one partition's
+(thousands of equal texts, say) is dealt to several by a hash of the key column, and of the
+place in the input where it is null.  Partitions are sorted by the key and laid out; each partition is cut every
 `length` ids, so only its last sequence is padded, and not if its ids are a power of two.
 
-Partitions are as many as have about `partition_bytes` of text each.
+Partitions are as many as have about `partition_bytes` of text each, MOST_PARTITIONS at most.
 
 Defined cases: null or empty text is the end id alone, at the curve's middle; repeated
 rows, with an id or without, are separate documents; other columns, whatever their names, are
@@ -22,9 +23,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from . import kernels as K
 from . import tokens as T
-from .naming import text_bytes
 
 BITS = 10
+CELL_BITS = 16  # of the key's: cells of the histogram
+MOST_PARTITIONS = 20_000
 
 
 def hilbert(points, bits=BITS):
@@ -70,6 +72,20 @@ def curve_keys(column, dims=4, buckets=256, seed=7):
     return out
 
 
+def cells(lines, partitions):
+    """(cells, first partition, number of partitions) in the curve's order, from (cell, bytes):
+    each partition gets about the same bytes, a cell stays whole unless it has more than that."""
+    lines = sorted(lines)
+    cell, size = (np.array([r[i] for r in lines], dtype=np.int64) for i in (0, 1))
+    share = max(1.0, float(size.sum()) / partitions)
+    end = np.cumsum(size)
+    whole = size <= share
+    first = np.where(whole, (end - size / 2) / share, np.round((end - size) / share)).astype(np.int64)
+    count = np.where(whole, 1, np.maximum(np.round(end / share) - np.round((end - size) / share), 1)).astype(np.int64)
+    first = np.minimum(first, partitions - 1)
+    return cell, first, np.minimum(count, partitions - first)
+
+
 def pack(docs, vocabulary=None, length=2048, end_id=1, pad_id=0, text="text", key="doc_id", dims=4, partitions=None, partition_bytes=8 << 20):
     """One row for each sequence (tokens.SEQUENCE), neighbours on the curve side by side."""
     vocabulary = vocabulary or T.default_vocabulary()
@@ -78,8 +94,17 @@ def pack(docs, vocabulary=None, length=2048, end_id=1, pad_id=0, text="text", ke
     arrow = to_arrow_type(kind)
     place = F.arrow_udf(lambda t: pa.array(curve_keys(t, dims)), "long")
     ordered = docs.withColumn("curve", place("text")).withColumn("tie", F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())))
-    n = partitions or -(-max(text_bytes(docs), 1) // partition_bytes)
-    ordered = ordered.repartitionByRange(n, "curve", "tie").sortWithinPartitions("curve", "tie", "doc_id").select("doc_id", "text")
+    cell = F.shiftright("curve", max(0, dims * BITS - CELL_BITS))
+    lines = ordered.groupBy(cell.alias("cell")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("bytes")).collect()
+    n = partitions or min(MOST_PARTITIONS, -(-max(sum(r["bytes"] for r in lines), 1) // partition_bytes))
+    known, first, count = cells([tuple(r) for r in lines], n)
+
+    def deal(c, tie):
+        at = np.searchsorted(known, c.to_numpy())
+        return pa.array((first[at] + tie.to_numpy() % count[at]).astype(np.int32))
+
+    ordered = ordered.withColumn("part", F.arrow_udf(deal, "int")(cell, "tie"))
+    ordered = ordered.repartitionById(n, "part").sortWithinPartitions("curve", "tie", "doc_id").select("doc_id", "text")
 
     def run(batches):
         encode = T.encoder(vocabulary)
