@@ -338,6 +338,20 @@ def test_packing_follows_the_curve(spark):
         assert all(a[1] <= b[0] for a, b in zip(order, order[1:]))
 
 
+def test_partitions_of_the_curve_have_equal_bytes(spark):
+    cell, first, count = hilbert_packing.cells([(7, 10), (1, 10), (3, 500), (9, 10), (4, 480)], 10)
+    assert cell.tolist() == [1, 3, 4, 7, 9] and (np.diff(first) >= 0).all()
+    assert count.tolist() == [1, 5, 5, 1, 1] and (first + count <= 10).all()
+    assert [len(x) for x in hilbert_packing.cells([], 3)] == [0, 0, 0]
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice("abcdefghijkl") * rng.randint(1, 9) for _ in range(rng.choice([5, 50, 3000])))) for i in range(400)] + [(None, "same words again " * 40)] * 600
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sizes = Counter()
+    for r in hilbert_packing.pack(docs, partitions=8).collect():
+        sizes[r["sequence_id"] >> 32] += r["n_tokens"]
+    assert len(sizes) == 8 and max(sizes.values()) < 2 * sum(sizes.values()) / 8
+
+
 def test_written_sequences_read_back(spark, odd, tmp_path):
     packed = bfd_packing.pack(odd)
     T.write_packed(packed, f"{tmp_path}/ids")
