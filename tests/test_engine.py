@@ -311,6 +311,14 @@ def test_next_pending_wraps(spark):
     assert review.next_pending(g.filter("status = 'skipped'"), 0, 4).first()[0] is None
 
 
+def test_of_groups_equally_far_the_least_is_next(spark):
+    far = [(g, "pending") for k in range(59, -1, -1) for g in (1000 * k + 5, 1000 * k + 7)] + [(None, "pending"), (4, "skipped")]
+    for n in (1, 8):
+        groups = spark.createDataFrame(far, "group_id long, status string").repartition(n)
+        assert review.next_pending(groups, 2, 1000).first()["next_group"] == 5
+    assert review.next_pending(groups.filter("status = 'gone'"), 2, 1000).first()["next_group"] is None
+
+
 def test_review_session(tmp_path):
     ps = make(tmp_path, ["a", "b", "c"])
     moves = lambda k: [(p, f"{p}.moved") for i, p in enumerate(ps) if i != k]

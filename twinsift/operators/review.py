@@ -29,9 +29,11 @@ def pick_relative(pick, delta, members):
 
 
 def next_pending(groups: DataFrame, active: int, total: int, group="group_id") -> DataFrame:
-    """The first pending group after the active one, wrapping round, itself last."""
+    """The first pending group after the active one, wrapping round, itself last; of groups as
+    far away, as numbers from `total` on give, the least."""
     away = F.pmod(F.col(group) - active - 1, F.lit(total))
-    return groups.filter("status = 'pending'").agg(F.min_by(group, away).alias("next_group"))
+    pending = groups.filter((F.col("status") == "pending") & F.col(group).isNotNull())
+    return pending.agg(F.min(F.struct(away, group))[group].alias("next_group"))
 
 
 class Session:
