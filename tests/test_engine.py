@@ -40,6 +40,40 @@ def test_banded_join_finds_what_brute_force_finds(spark, threshold):
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == sorted(map(tuple, all_.collect()))
 
 
+@pytest.mark.parametrize("threshold", [2, 10, 64])
+def test_cells_find_what_brute_force_finds_and_link_the_same(spark, threshold, monkeypatch):
+    rng = random.Random(threshold)
+    base = [rng.getrandbits(64) for _ in range(9)]
+    values = sorted({signed(base[i % 9] ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 8)))) for i in range(400)})
+    monkeypatch.setattr(pairs, "BLOCK", 90)
+    far = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
+    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    got = [tuple(r) for r in pairs.cell_join(df, None, threshold).collect()]
+    want = {(a, b, far(a, b)) for a in values for b in values if a < b and far(a, b) <= threshold}
+    assert len(got) == len(set(got)) and set(got) == want
+    some, rest = values[:150], values[100:]
+    two = [tuple(r) for r in pairs.cell_join(*(spark.createDataFrame([(v,) for v in x], "fp long") for x in (some, rest)), threshold).collect()]
+    assert len(two) == len(set(two)) and set(two) == {(a, b, far(a, b)) for a in some for b in rest if far(a, b) <= threshold}
+    links = pairs.cell_join(df, None, threshold, links=True)
+    assert {tuple(r) for r in links.collect()} <= want and links.count() <= 2 * len(values) * 5
+    parted = [sorted(map(tuple, connected_components(e, "a", "b").collect())) for e in (links, spark.createDataFrame(sorted(want), "a long, b long, distance long"))]
+    assert parted[0] == parted[1]
+
+
+def test_a_forest_over_several_portions_links_what_the_pairs_link():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 60, 500), rng.integers(0, 40, 500)
+    found = [(a[k : k + 70], b[k : k + 70], b[k : k + 70]) for k in range(0, 500, 70)]
+    got = [(i, j) for p, q, _ in pairs.forest(found, 100, 60) for i, j in zip(p.tolist(), q.tolist())]
+    assert set(got) <= set(zip(a.tolist(), b.tolist())) and len(got) == len(set(a)) + len(set(b)) - 1  # one tree
+
+
+def test_keys_of_many_parts_stay_few_expressions(spark):
+    own, _ = pairs._keys(F.col("v"), 10, 60, "combinations", 14)
+    assert len(own._jc.toString()) < 60_000
+    assert pairs.plan(470_000, 10, 60)[0] == "cells" and pairs.plan(4_000_000, 2, 64)[0] != "cells"
+
+
 def test_every_item_is_one_group_at_the_largest_threshold(spark):
     fps = spark.createDataFrame([(1, 5), (2, -5), (3, None), (4, 0)], "id long, fp long")
     assert {r["component"] for r in connected_components(pairs.linking_edges(fps, 64)).collect()} == {1}
