@@ -68,6 +68,11 @@ def test_a_forest_over_several_portions_links_what_the_pairs_link():
     assert set(got) <= set(zip(a.tolist(), b.tolist())) and len(got) == len(set(a)) + len(set(b)) - 1  # one tree
 
 
+def test_wide_thresholds_meet_in_cells():
+    # three bits of eleven: each of six parts sends up to 176 probes and meets the other rows many times
+    assert all(pairs.plan(n, 20, 64)[0] == "cells" for n in (30_000, 102_562, 1_000_000))
+
+
 def test_keys_of_many_parts_stay_few_expressions(spark):
     own, _ = pairs._keys(F.col("v"), 10, 60, "combinations", 14)
     assert len(own._jc.toString()) < 60_000
