@@ -92,6 +92,18 @@ def test_components_of_a_long_path_and_a_star(spark):
         connected_components(spark.createDataFrame(edges, "src long, dst long"), max_rounds=1)
 
 
+def test_rounds_and_numbers_keep_no_size_estimate(spark):
+    def bits(df):
+        return df._jdf.queryExecution().analyzed().stats().sizeInBytes().bit_length()
+
+    path = spark.range(100).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert bits(connected_components(path)) <= 64  # the number's digits doubled each round
+    large = path.crossJoin(path.select(F.col("src").alias("a"))).crossJoin(path.select(F.col("src").alias("b"))).filter("a = 0 AND b = 0")
+    once = grouping.number(large, "src", "at").select("src", "at")
+    assert bits(once) <= bits(grouping.number(path, "src", "at").select("src", "at"))
+    assert [r["at"] for r in once.orderBy("src").collect()] == list(range(100))
+
+
 def test_groups_are_numbered_by_their_first_member(spark):
     items = spark.createDataFrame([("a/b",), ("a-b/x",), ("a/B",), ("z",), ("q",)], "id string")
     edges = spark.createDataFrame([("z", "a-b/x"), ("a/b", "a/B")], "src string, dst string")

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsift.operators.components import connected_components, ensure_checkpoint_dir
+from twinsift.operators.components import connected_components, cut
 
 
 def members(items: DataFrame, edges: DataFrame, key="id", order=None) -> DataFrame:
@@ -29,9 +29,8 @@ def number(df: DataFrame, order: str, name: str) -> DataFrame:
     partitions' sizes (one number each) become the offsets.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     # partition number above bit 33, place below
-    parts = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id()).checkpoint()
+    parts = cut(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id()))
     part = F.shiftright("_m", 33).cast("int")
     sizes, offset, rows = sorted((r["_p"], r["count"]) for r in parts.groupBy(part.alias("_p")).count().collect()), 0, []
     for p, n in sizes:

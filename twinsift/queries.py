@@ -172,7 +172,7 @@ def text_fps(spark, sf_dir):
 
 
 def text_members(spark, sf_dir):
-    fps = text_fps(spark, sf_dir)
+    fps = pairs.settled(text_fps(spark, sf_dir), "doc_id", "fp")
     return grouping.members(fps.select("doc_id"), pairs.linking_edges(fps, TEXT_T, "doc_id", bits=60), "doc_id")
 
 
