@@ -60,6 +60,13 @@ def test_cells_find_what_brute_force_finds_and_link_the_same(spark, threshold, m
     assert parted[0] == parted[1]
 
 
+@pytest.mark.parametrize("shape, share", [((1, 1), 1), ((32, 4096), 0.001), ((3, 13), 0.5), ((32, 5), 0), ((32, 4091), 0.1)])
+def test_places_are_those_of_nonzero(shape, share):
+    near = np.random.default_rng(3).random(shape) < share
+    for found, known in zip(pairs.places(near), near.nonzero()):
+        assert (found == known).all() and len(found) == len(known)
+
+
 def test_a_forest_over_several_portions_links_what_the_pairs_link():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 60, 500), rng.integers(0, 40, 500)
