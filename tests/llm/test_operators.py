@@ -352,6 +352,11 @@ def test_partitions_of_the_curve_have_equal_bytes(spark):
     assert len(sizes) == 8 and max(sizes.values()) < 2 * sum(sizes.values()) / 8
 
 
+def test_a_task_of_the_packing_has_one_python_worker(spark, odd):
+    plan = hilbert_packing.pack(odd, partitions=2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("MapInArrow") == 1
+
+
 def test_written_sequences_read_back(spark, odd, tmp_path):
     packed = bfd_packing.pack(odd)
     T.write_packed(packed, f"{tmp_path}/ids")
@@ -599,6 +604,14 @@ def test_many_sources_are_planned_by_relations(spark, odd):
     assert time.time() - start < 5
 
 
+def test_a_plan_of_sources_needs_no_python_worker(spark):
+    sources = spark.createDataFrame([("a", 10, 1), (None, 100, 2), ("b", 100, 3)], "source string, size long, rows long")
+    plan = mixing.planned(sources, (5, 2, 1), 3, 10)
+    assert "ExistingRDD" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert [(r["source"], r["source_size"], r["rows"]) for r in plan.collect()] == [("a", 10, 1), ("b", 100, 3), (None, 100, 2)]
+    assert [r["target"] for r in plan.collect()] == mixing.targets([("a", 10), ("b", 100), (None, 100)])
+
+
 def test_rows_of_one_key_share_their_copies(spark):
     rows = [(1, "a b c", "s"), (1, "a b c", "s"), (1, "d e", "s"), (None, "f g h i", "s"), (None, "f g h i", "s"), (None, "k", "s"), (2, "l m n o p q", "t")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")

@@ -93,17 +93,20 @@ def pack(docs, vocabulary=None, length=2048, end_id=1, pad_id=0, text="text", ke
     kind = docs.schema["doc_id"].dataType
     arrow = to_arrow_type(kind)
     place = F.arrow_udf(lambda t: pa.array(curve_keys(t, dims)), "long")
-    ordered = docs.withColumn("curve", place("text")).withColumn("tie", F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())))
-    cell = F.shiftright("curve", max(0, dims * BITS - CELL_BITS))
-    lines = ordered.groupBy(cell.alias("cell")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("bytes")).collect()
+    ordered = docs.withColumn("tie", F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())))
+    shift = max(0, dims * BITS - CELL_BITS)
+    lines = docs.groupBy(F.shiftright(place("text"), shift).alias("cell")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("bytes")).collect()
     n = partitions or min(MOST_PARTITIONS, -(-max(sum(r["bytes"] for r in lines), 1) // partition_bytes))
     known, first, count = cells([tuple(r) for r in lines], n)
 
-    def deal(c, tie):
-        at = np.searchsorted(known, c.to_numpy())
-        return pa.array((first[at] + tie.to_numpy() % count[at]).astype(np.int32))
+    # key and partition from one function: a second one that takes the first one's result would
+    # have a Python worker of its own in each task, and idle workers keep their memory
+    def deal(t, tie):
+        curve = curve_keys(t, dims)
+        at = np.searchsorted(known, curve >> shift)
+        return pa.StructArray.from_arrays([pa.array(curve), pa.array((first[at] + tie.to_numpy() % count[at]).astype(np.int32))], ["curve", "part"])
 
-    ordered = ordered.withColumn("part", F.arrow_udf(deal, "int")(cell, "tie"))
+    ordered = ordered.withColumn("dealt", F.arrow_udf(deal, "struct<curve: long, part: int>")("text", "tie")).select("doc_id", "text", "tie", "dealt.*")
     ordered = ordered.repartitionById(n, "part").sortWithinPartitions("curve", "tie", "doc_id").select("doc_id", "text")
 
     def run(batches):

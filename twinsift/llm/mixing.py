@@ -66,7 +66,10 @@ def planned(sources, weights, most, few):
     if sources.limit(few + 1).count() <= few:
         lines = sorted(((r["source"], r["size"], r["rows"]) for r in sources.collect()), key=lambda r: (r[0] is None, r[0] or ""))
         goal = targets([(s, z) for s, z, _ in lines], weights, most)
-        return spark.createDataFrame([(s, z, r, g) for (s, z, r), g in zip(lines, goal)], "source string, source_size long, rows long, target double")
+        columns = [*zip(*((s, z, r, g) for (s, z, r), g in zip(lines, goal)))] or [()] * 4
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64()]
+        # from Arrow: rows would pass through Python workers, of a daemon of their own
+        return spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], ["source", "source_size", "rows", "target"]))
     order = number(sources.withColumn("_o", F.struct(F.col("source").isNull().alias("none"), "source")), "_o", "_n")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("_n", F.lit(len(weights))) + 1).cast("int"))
     lines = order.select("source", F.col("size").alias("source_size"), "rows", weight.alias("_w"), F.lit(None).cast("double").alias("target")).checkpoint()
